@@ -8,7 +8,7 @@ unknown one included, sum to 1 exactly, for every history.
 
 The counts are tables partitioned by hash, built and asked chunk by chunk:
 
-1. a chunk (about 16 MB of documents) sends its distinct words and pairs with their
+1. a chunk (about 8 MB of documents) sends its distinct words and pairs with their
    training counts, packed and sorted, to the owners of ranges of the hash space;
 2. owners add up, and answer each chunk with the total counts of what it sent; one
    of the chunks that hold a pair is made its speaker;

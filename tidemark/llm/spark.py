@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def chunked(docs: DataFrame, *more) -> tuple[DataFrame, int]:
     """Documents dealt by a hash of doc_id into chunks of about CHUNK_BYTES, and their number.
 
-    Their number follows the bytes of text, so a chunk fits a task at any size.
+    Their number follows the bytes of text, so a chunk fits a task at any size; a
+    small table gets as many as there are shuffle partitions, of LEAST_BYTES at least.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // CHUNK_BYTES))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-total // CHUNK_BYTES), min(partitions, total // LEAST_BYTES))
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), *more).repartition(n, "chunk"), n

@@ -2,7 +2,7 @@
 
 Words make K-word windows: the edges of a De Bruijn graph, named by 64-bit hashes.
 
-1. Each chunk of documents (about 16 MB, dealt by a hash of doc_id) sorts its distinct
+1. Each chunk of documents (about 8 MB, dealt by a hash of doc_id) sorts its distinct
    edges with the least doc_id that holds each, and sends them, packed, to the owners
    of ranges of the hash space. Hashes spread evenly, and a chunk sends an edge once
    however often it occurs, so no passage or group of copies makes a hot key.
