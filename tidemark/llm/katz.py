@@ -43,7 +43,7 @@ CLASSES, FLOOR = 5, 0.1
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 WORD, PAIR, BACK, DOC = 0, 1, 2, 3
 SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-STATS = 2 + 2 * (CLASSES + 1) + 1
+COUNTED = pa.schema([("kind", pa.int32()), ("numbers", pa.list_(pa.int64()))])
 MASS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary()), ("asks", pa.binary()), ("docs", pa.binary()), ("stats", pa.list_(pa.int64()))])
 SCORE = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("part_score", pa.float64())])
 
@@ -120,6 +120,7 @@ def _send(key, docs: pa.Table, parts: int) -> pa.Table:
         keys = s[at]
         cut = T.ranges(keys, parts)
         out += [(p, key[0].as_py(), kind, T.pack_sorted(keys[i:j]), T.pack(counts[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+    T.release()
     return _table(SENT, out)
 
 
@@ -139,7 +140,7 @@ def _answer(key, sent: pa.Table, count_only: bool) -> pa.Table:
         size, sums = np.diff(np.append(at, len(s))), np.add.reduceat(counts[o], at)
         if count_only:
             some = sums[sums > 0]
-            out.append((0, 0, kind, b"", np.append([some.sum(), len(some)], np.bincount(some[some <= CLASSES + 1], minlength=CLASSES + 2)[1:]).astype(np.int64).tobytes()))
+            out.append((kind, [int(some.sum()), len(some), *np.bincount(some[some <= CLASSES + 1], minlength=CLASSES + 2)[1:].tolist()]))
             continue
         whole = np.empty(len(h), np.int64)
         whole[o] = np.repeat(sums, size) * 2
@@ -151,7 +152,8 @@ def _answer(key, sent: pa.Table, count_only: bool) -> pa.Table:
         for src, x in zip(mine["src"].to_pylist(), keys):
             out.append((key[0].as_py(), src, kind, b"", T.pack(whole[begin : begin + len(x)])))
             begin += len(x)
-    return _table(SENT, out)
+    T.release()
+    return _table(COUNTED if count_only else SENT, out)
 
 
 def _class(r: np.ndarray) -> np.ndarray:
@@ -212,6 +214,7 @@ def _mass(key, docs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
         if j > i:
             out.append((p, BACK, T.pack_sorted(hs[i:j]), T.pack(table[i:j].reshape(-1)), T.pack((ask_h[a:b] - i).astype(np.int32)) if b > a else b"", T.pack(ask_row[a:b].astype(np.int32)) if b > a else b"", [*stats.tolist(), key]))
     out.append((key % parts, DOC, b"", b"", b"", _ipc(_table(SCORE, packed)), [*stats.tolist(), key]))
+    T.release()
     return _table(MASS, out)
 
 
@@ -261,7 +264,7 @@ def score(docs: DataFrame) -> DataFrame:
     sent = base.groupBy("chunk").applyInArrow(lambda k, t: _send(k, t, n), _ddl(SENT)).repartition(n, "part")
     owners = sent.groupBy("part")
     answers = owners.applyInArrow(lambda k, t: _answer(k, t, False), _ddl(SENT))
-    counted = owners.applyInArrow(lambda k, t: _answer(k, t, True), _ddl(SENT)).select("kind", "counts")
+    counted = owners.applyInArrow(lambda k, t: _answer(k, t, True), _ddl(COUNTED))
     stats = _stats(counted, base)
     # one row, on a constant key
     answers = answers.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one").withColumnRenamed("src", "chunk").repartition(n, "chunk")
@@ -273,16 +276,10 @@ def score(docs: DataFrame) -> DataFrame:
 
 def _stats(counted: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: stats, an array of N, V, counts of counts of words, then of pairs, and the number of training documents."""
-    def numbers(batches):
-        for b in batches:
-            rows = [(k, np.frombuffer(x, np.int64)) for k, x in zip(b["kind"].to_pylist(), b["counts"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tolist() for _, x in rows], pa.list_(pa.int64()))], ["kind", "x"])
-
-    x = counted.mapInArrow(numbers, "kind int, x array<long>")
-    of = lambda kind, k: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x")[k])), F.lit(0))
+    of = lambda kind, k: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("numbers")[k])), F.lit(0))
     cols = [of(WORD, k) for k in range(3 + CLASSES)] + [of(PAIR, k) for k in range(2, 3 + CLASSES)]
     # every training document has one pair that starts it and one end: the ends are its count
-    got = x.agg(F.array(*cols).alias("stats"))
+    got = counted.agg(F.array(*cols).alias("stats"))
     starts = docs.where("not held_out").agg(F.count("*").alias("starts"))
     both = got.withColumn("one", F.lit(1)).join(F.broadcast(starts.withColumn("one", F.lit(1))), "one")
     return both.select("one", F.array_append("stats", F.col("starts")).alias("stats"))

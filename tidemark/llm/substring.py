@@ -87,6 +87,7 @@ def _send(key, docs: pa.Table, parts: int, k: int) -> pa.Table:
     o, at, least = _first(h, _ids(docs)[row])
     keys = h[o][at]
     cut = T.ranges(keys, parts)
+    T.release()
     return _table(SENT, [(p, key[0].as_py(), T.pack_sorted(keys[i:j]), T.pack(least[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
 
 
@@ -102,6 +103,7 @@ def _answer(key, sent: pa.Table) -> pa.Table:
     for src, x in zip(sent["src"].to_pylist(), keys):
         s = slice(begin, begin := begin + len(x))
         rows.append((key[0].as_py(), src, T.pack(np.packbits(less[s])), T.pack(source[s][less[s]])))
+    T.release()
     return _table(SENT, rows)
 
 
@@ -123,6 +125,7 @@ def _paths(docs: pa.Table, answers: pa.Table, k: int) -> pa.Table:
         less = np.unpackbits(b, count=int(n)).astype(bool)
         least[begin : begin + n][less] = s
         begin += n
+    T.release()
     owner = np.empty(len(h), np.int64)
     owner[o] = np.repeat(least, np.diff(np.append(at, len(h))))
     hit = np.flatnonzero(owner < ids[row])
