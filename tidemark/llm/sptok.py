@@ -34,7 +34,7 @@ from pyspark.sql import types as S
 from . import text as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, REMEMBER = 1 << 12, 300_000
+CHUNK, REMEMBER, PAIRS = 1 << 12, 60_000, 200_000
 SPACE = "▁"
 
 
@@ -62,7 +62,13 @@ class Vocabulary:
         # what no piece crosses: a space after another character (unless some piece has one inside), lone characters
         self.cut = re.compile(f"[{single}]|[^{single}]+" if crossing else f"[{single}]| +[^ {single}]*|[^ {single}]+", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.self_ok: dict[str, bool] = {}
+        # pieces that encode to themselves, and "" for what only begins a piece
+        self.known: dict[str, str] = {}
+        for p in self.ids:
+            for n in range(1, len(p)):
+                self.known.setdefault(p[:n], "")
+            if self.merge(p) == [p]:
+                self.known[p] = p
 
     def merge(self, s: str) -> list[str]:
         """BPE by definition: the best-scored adjacent pair merges first, leftmost among equals."""
@@ -79,19 +85,15 @@ class Vocabulary:
         return parts
 
     def whole(self, p: str) -> bool:
-        ok = self.self_ok.get(p)
-        if ok is None:
-            ok = self.self_ok[p] = len(p) == 1 or (p in self.rank and self.merge(p) == [p])
-        return ok
+        return len(p) == 1 or bool(self.known.get(p))
 
     def edge(self, a: str, b: str) -> bool:
         """Weight 0 (True) or minus infinity of piece b after piece a."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > REMEMBER:
+        if (a, b) not in self.pairs:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return ok
+            self.pairs[a, b] = self.merge(a + b) == [a, b]
+        return self.pairs[a, b]
 
     def scan(self, s: str, begin: int, end: int, start: int, last: str | None) -> dict[int, str]:
         """The last piece of the path to each position in start .. that begins before end, given the piece before start.
@@ -99,14 +101,25 @@ class Vocabulary:
         Positions up to end + longest - 1 may be reached: pieces crossing the cut.
         """
         path: dict[int, str] = {start: last}  # type: ignore[dict-item]
+        known, pairs = self.known, self.pairs
         for q in range(start, end):
             if q not in path:
                 continue
             a = path[q]
-            for n in range(1, min(self.longest, len(s) - q) + 1):
-                b = s[q : q + n]
-                if q + n not in path and self.whole(b) and (a is None or self.edge(a, b)):
-                    path[q + n] = b
+            for e in range(q + 1, len(s) + 1):
+                b = known.get(s[q:e])
+                if e == q + 1 and not b:
+                    b, more = s[q], b is not None  # a character without a piece stands alone
+                else:
+                    more = b is not None
+                if b and e not in path:
+                    ok = a is None or pairs.get((a, b))
+                    if ok is None:
+                        ok = self.edge(a, b)
+                    if ok:
+                        path[e] = b
+                if not more:
+                    break
         return path
 
     def trace(self, path: dict[int, str], start: int, p: int) -> list[str]:
@@ -192,16 +205,19 @@ def states_on_path(matrices: list[np.ndarray]) -> list[int]:
 
 
 class Memory(dict):
-    """Encodings of segments, forgotten when there are too many."""
+    """Encodings of segments; when there are REMEMBER, those not met since the last time are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, segment: str) -> list[int]:
-        ids = self.vocabulary.encode_segment(segment)
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = self.vocabulary.encode_segment(segment)
         if len(segment) <= 64:
             if len(self) > REMEMBER:
+                self.older = dict(self)
                 self.clear()
             self[segment] = ids
         return ids

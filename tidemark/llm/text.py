@@ -70,6 +70,7 @@ def pieces(col, limit: int = LIMIT):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    release()
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
