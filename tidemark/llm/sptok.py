@@ -23,8 +23,10 @@ no ids, as the empty one does. The vocabulary file's path is a parameter; its by
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import types as S
 from . import text as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, REMEMBER, PAIRS = 1 << 12, 60_000, 200_000
+CHUNK, REMEMBER, PAIRS, TAIL = 1 << 12, 250_000, 300_000, 4
 SPACE = "▁"
 
 
@@ -55,6 +57,7 @@ class Vocabulary:
             elif not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)):
                 self.ids[piece], self.rank[piece] = k, sp.get_score(k)
                 self.out[k] = piece.replace(SPACE, " ").encode()
+        self.names = {k: p for p, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -164,9 +167,6 @@ class Vocabulary:
                     m[i, j] = 0
         return m
 
-    def pieces(self, text: str) -> list[list[int]]:
-        return [self.encode_segment(x) for x in self.cut.findall(" " + text)]
-
     def encode_segment(self, segment: str) -> list[int]:
         ids = []
         for p in self.segment(segment.replace(" ", SPACE)):
@@ -211,10 +211,12 @@ class Memory(dict):
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
 
-    def __missing__(self, segment: str) -> list[int]:
+    def __missing__(self, segment: str) -> tuple[int, ...]:
         ids = self.older.get(segment)
         if ids is None:
-            ids = self.vocabulary.encode_segment(segment)
+            ids = self.extended(segment)
+            if ids is None:
+                ids = tuple(self.vocabulary.encode_segment(segment))
         if len(segment) <= 64:
             if len(self) > REMEMBER:
                 self.older = dict(self)
@@ -222,6 +224,19 @@ class Memory(dict):
             self[segment] = ids
         return ids
 
+    def extended(self, segment: str) -> tuple[int, ...] | None:
+        """A remembered segment's path and one more edge of weight 0, if there is such."""
+        v = self.vocabulary
+        for n in range(1, min(TAIL, len(segment) - 2) + 1):
+            head = segment[:-n]
+            ids = self.get(head) or self.older.get(head)
+            if ids is not None:
+                tail = v.known.get(segment[-n:])
+                last = v.names.get(ids[-1])
+                if tail and last is not None and v.edge(last, tail):
+                    return (*ids, v.ids[tail])
+        return None
+
 
 _memory: dict[bytes, Memory] = {}
 
@@ -234,11 +249,7 @@ def memory(model: bytes) -> Memory:
 
 
 def encode(text: str, m: Memory) -> list[int]:
-    out: list[int] = []
-    if text:
-        for segment in m.vocabulary.cut.findall(" " + text):
-            out += m[segment]
-    return out
+    return list(chain.from_iterable(map(m.__getitem__, m.vocabulary.cut.findall(" " + text)))) if text else []
 
 
 def decode(ids, m: Memory) -> str:
@@ -263,6 +274,7 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         m = memory(shared.value)
+        gc.freeze()  # millions of remembered ids hold no cycles
         for b in batches:
             got = [encode(t, m) for t in T.strings(b["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(got)], [*b.schema.names, "ids"])
@@ -298,6 +310,7 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         m = memory(shared.value)
+        gc.freeze()
         for b in batches:
             rows = []
             for t in T.strings(b["text"]).to_pylist():
