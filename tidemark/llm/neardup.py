@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches):
             col = T.strings(b["text"])
             off, buf = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1].tolist(), memoryview(col.buffers()[2] or b"")
             out = np.array([fingerprint(bytes(buf[i:j])) for i, j in zip(off, off[1:])], np.uint64)

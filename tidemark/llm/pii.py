@@ -120,7 +120,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per document: counts by base kind, digest of the base spans, all spans, lowest score."""
 
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches):
             rows = []
             for t in T.strings(b["text"]).to_pylist():
                 found = spans(t)
@@ -137,7 +137,7 @@ def redact_pii(docs: DataFrame, col: str = "text") -> DataFrame:
     """The same rows and columns with personal data in col replaced; null stays null."""
 
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches):
             k = b.schema.get_field_index(col)
             yield b.set_column(k, b.schema.field(k), pa.array([t and redact(t) for t in b[col].to_pylist()], b.schema.field(k).type))
 

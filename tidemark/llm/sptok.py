@@ -275,18 +275,17 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         m = memory(shared.value)
         gc.freeze()  # millions of remembered ids hold no cycles
-        for b in batches:
-            got = [encode(t, m) for t in T.strings(b["text"]).to_pylist()]
+        for b in T.slices(batches):
+            got = [np.array(encode(t, m), np.int32) for t in T.strings(b["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(got)], [*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _lists(got: list[list[int]]) -> pa.Array:
+def _lists(got: list[np.ndarray]) -> pa.Array:
     off = np.zeros(len(got) + 1, np.int32)
     np.cumsum([len(x) for x in got], out=off[1:])
-    flat = np.fromiter((y for x in got for y in x), np.int32, int(off[-1]))
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *got])))
 
 
 def detokenize(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
@@ -296,7 +295,7 @@ def detokenize(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> D
 
     def run(batches):
         m = memory(shared.value)
-        for b in batches:
+        for b in T.slices(batches):
             k = b.schema.get_field_index("ids")
             ids, off = b.column(k).flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(x) if x.is_valid else 0 for x in b.column(k)])).astype(int)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decode(ids[i:j].tolist(), m) for i, j in zip(off, off[1:])], pa.string())], [*b.schema.names, into])
@@ -311,7 +310,7 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         m = memory(shared.value)
         gc.freeze()
-        for b in batches:
+        for b in T.slices(batches):
             rows = []
             for t in T.strings(b["text"]).to_pylist():
                 ids = encode(t, m)

@@ -73,6 +73,14 @@ def pieces(col, limit: int = LIMIT):
     release()
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, for work on Python strings."""
+    for b in batches:
+        for lo in range(0, max(1, len(b)), rows):
+            yield b.slice(lo, rows)
+        release()
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the maximal runs of bytes that aren't white space."""
     n = len(buf)
