@@ -9,7 +9,7 @@ from tidemark.llm import decontam, langid, neardup, pii, sptok
 from tidemark.llm.spark import held_out, shared_dir, table
 
 #: Least share of a document's recognised n-grams that its language must have.
-SURE = 0.3
+SURE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

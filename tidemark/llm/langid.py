@@ -7,7 +7,8 @@ is corrected for the filter's false positives, (c - n f) / (1 - f) with f the
 fill to the power k, and the largest corrected count decides.
 
 Filters hold the n-grams of at most SAMPLE documents per language (the smallest
-hashes of doc_id) that occur in SHARE of them, and in two at least. Results are
+hashes of doc_id) that occur in SHARE of them and in two at least, and in NEAR of the
+share that the n-gram has in any other language. Results are
 `und` with score 0 for a null text, a text without a letter, or one no learned
 n-gram matches; ties go to the first language in code point order. Null langs
 aren't learned; without training rows all is `und`. Extra columns are ignored;
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .spark import held_out
 
-GRAMS, SLOTS, PROBES, SAMPLE, SHARE = (3, 4), 1 << 20, 3, 400, 0.02
+GRAMS, SLOTS, PROBES, SAMPLE, SHARE, NEAR = (3, 4), 1 << 20, 3, 400, 0.02, 0.5
 
 
 def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
     n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
     seen = rows.mapInArrow(_distinct, "lang string, gram long").groupBy("lang", "gram").count()
     least = F.greatest(F.lit(2), F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(np.ceil(SHARE * v))))]), F.col("lang"))) if n else F.lit(2)
-    kept = seen.where(F.col("count") >= least).select("lang", "gram").toArrow().to_pandas()  # at most 1 / SHARE of a text's n-grams per language
+    kept = seen.where(F.col("count") >= least).toArrow().to_pandas()  # at most 1 / SHARE of a text's n-grams per language
+    share = kept["count"] / kept["lang"].map(n)
+    kept = kept[share >= NEAR * share.groupby(kept["gram"]).transform("max")]
     return Filters({k: kept["gram"][kept["lang"] == k].to_numpy(np.int64).view(np.uint64) for k in n}, size)
 
 

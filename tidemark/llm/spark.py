@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 CHUNK_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where they see the driver's folders; clusters get it by --py-files."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(mod: int, rest: int, col: str = "doc_id"):
@@ -23,7 +34,7 @@ def held_out(mod: int, rest: int, col: str = "doc_id"):
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which all executors reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = reachable(spark).conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:  # only where nothing is set, as in tests
         base = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
