@@ -105,6 +105,12 @@ def test_one_scan_one_exchange(three):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_persist(three):
+    kept = three.load(three.bundles.select("*")).persist()
+    assert kept.cache_stats() == {"memory": True, "disk": True} and kept.filtered().count() == 3
+    assert kept.unpersist().cache_stats() == {"memory": False, "disk": False}
+
+
 def test_groups(spark, three):
     got = {r["key"]: r for r in three.group(F.col("userAgent")).collect()}
     assert got["mobile:ios"]["pageViews__share"] == pytest.approx(1 / 3) and got["mobile:ios"]["pageViews__percentage"] == 0.5

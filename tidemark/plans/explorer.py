@@ -82,6 +82,20 @@ class Explorer:
         falsy = values == (F.lit("") if isinstance(kind, T.StringType) else F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0)) if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(False)
         return F.when(values.isNull() | falsy, none).otherwise(F.array(values.cast("string")))
 
+    # caching is Spark's: views are plans, and what is worth keeping is kept as a table
+
+    def persist(self) -> Explorer:
+        """Keeps the bundles in memory and on disk for several views."""
+        return replace(self, bundles=self.bundles.persist())
+
+    def unpersist(self) -> Explorer:
+        return replace(self, bundles=self.bundles.unpersist())
+
+    def cache_stats(self) -> dict[str, bool]:
+        """Whether the bundles are kept, and where."""
+        level = self.bundles.storageLevel
+        return {"memory": level.useMemory, "disk": level.useDisk}
+
     # filters
 
     def _conditions(self, spec: Mapping | None = None, combiner: str | None = None) -> dict[str, Column]:
