@@ -266,8 +266,7 @@ def score(docs: DataFrame) -> DataFrame:
     answers = owners.applyInArrow(lambda k, t: _answer(k, t, False), _ddl(SENT))
     counted = owners.applyInArrow(lambda k, t: _answer(k, t, True), _ddl(COUNTED))
     stats = _stats(counted, base)
-    # one row, on a constant key
-    answers = answers.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one").withColumnRenamed("src", "chunk").repartition(n, "chunk")
+    answers = answers.withColumn("stats", stats.scalar()).withColumnRenamed("src", "chunk").repartition(n, "chunk")
     mass = base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda k, a, b: _mass(k[0].as_py(), a, b, n), _ddl(MASS))
     parts = mass.repartition(n, "part").groupBy("part").applyInArrow(lambda k, t: _histories(k, t), _ddl(SCORE))
     one = lambda c: F.max(c).alias(c)
@@ -281,5 +280,4 @@ def _stats(counted: DataFrame, docs: DataFrame) -> DataFrame:
     # every training document has one pair that starts it and one end: the ends are its count
     got = counted.agg(F.array(*cols).alias("stats"))
     starts = docs.where("not held_out").agg(F.count("*").alias("starts"))
-    both = got.withColumn("one", F.lit(1)).join(F.broadcast(starts.withColumn("one", F.lit(1))), "one")
-    return both.select("one", F.array_append("stats", F.col("starts")).alias("stats"))
+    return got.select(F.array_append("stats", starts.scalar()).alias("stats"))

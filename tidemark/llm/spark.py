@@ -35,10 +35,12 @@ def held_out(mod: int, rest: int, col: str = "doc_id"):
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which all executors reach."""
     base = reachable(spark).conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # only where nothing is set, as in tests
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and found.isDefined():
+        base = found.get()
+    elif not base:  # only where nothing is set, as in tests
         base = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if found.isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
 
