@@ -36,7 +36,7 @@ from pyspark.sql import types as S
 from . import text as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, REMEMBER, PAIRS, TAIL = 1 << 12, 250_000, 300_000, 4
+CHUNK, REMEMBER, PAIRS, TAIL = 1 << 12, 350_000, 300_000, 4
 SPACE = "▁"
 
 
@@ -92,11 +92,12 @@ class Vocabulary:
 
     def edge(self, a: str, b: str) -> bool:
         """Weight 0 (True) or minus infinity of piece b after piece a."""
-        if (a, b) not in self.pairs:
+        ok = self.pairs.get((a, b))
+        if ok is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return self.pairs[a, b]
+            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        return ok
 
     def scan(self, s: str, begin: int, end: int, start: int, last: str | None) -> dict[int, str]:
         """The last piece of the path to each position in start .. that begins before end, given the piece before start.
@@ -104,24 +105,28 @@ class Vocabulary:
         Positions up to end + longest - 1 may be reached: pieces crossing the cut.
         """
         path: dict[int, str] = {start: last}  # type: ignore[dict-item]
-        known, pairs = self.known, self.pairs
+        known, pairs, n = self.known.get, self.pairs.get, len(s)
         for q in range(start, end):
             if q not in path:
                 continue
             a = path[q]
-            for e in range(q + 1, len(s) + 1):
-                b = known.get(s[q:e])
-                if e == q + 1 and not b:
-                    b, more = s[q], b is not None  # a character without a piece stands alone
-                else:
-                    more = b is not None
+            e = q + 1
+            b = known(s[q:e])
+            more = b is not None
+            if not b:
+                b = s[q]  # a character without a piece stands alone
+            while True:
                 if b and e not in path:
-                    ok = a is None or pairs.get((a, b))
+                    ok = a is None or pairs((a, b))
                     if ok is None:
                         ok = self.edge(a, b)
                     if ok:
                         path[e] = b
-                if not more:
+                if not more or e == n:
+                    break
+                e += 1
+                b = known(s[q:e])
+                if b is None:
                     break
         return path
 
@@ -227,13 +232,12 @@ class Memory(dict):
     def extended(self, segment: str) -> tuple[int, ...] | None:
         """A remembered segment's path and one more edge of weight 0, if there is such."""
         v = self.vocabulary
+        new, old, known = self.get, self.older.get, v.known.get
         for n in range(1, min(TAIL, len(segment) - 2) + 1):
-            head = segment[:-n]
-            ids = self.get(head) or self.older.get(head)
-            if ids is not None:
-                tail = v.known.get(segment[-n:])
-                last = v.names.get(ids[-1])
-                if tail and last is not None and v.edge(last, tail):
+            tail = known(segment[-n:])
+            if tail:
+                ids = new(head := segment[:-n]) or old(head)
+                if ids and (last := v.names.get(ids[-1])) is not None and v.edge(last, tail):
                     return (*ids, v.ids[tail])
         return None
 
