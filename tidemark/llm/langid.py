@@ -78,12 +78,17 @@ class Filters:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
     """Learn filters from documents with lang."""
+    docs = docs.where("lang is not null and text is not null")
+    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}  # a row per language
+    if not sizes:
+        return Filters({}, size)
+    # few more rows than asked for are ranked, however many there are: hashes under a bound that the language's size sets
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1 << 31, (4 * sample << 31) // v))]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    ids = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= bound).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     ids = ids.select("doc_id").distinct()
-    langs = docs.select("lang").where("lang is not null").distinct().count()
-    rows = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(ids) if langs * sample <= 100_000 else ids, "doc_id", "left_semi").select("lang", "text")
-    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if len(sizes) * sample <= 100_000 else ids, "doc_id", "left_semi").select("lang", "text")
+    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     seen = rows.mapInArrow(_distinct, "lang string, gram long").groupBy("lang", "gram").count()
     least = F.greatest(F.lit(2), F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(np.ceil(SHARE * v))))]), F.col("lang"))) if n else F.lit(2)
     kept = seen.where(F.col("count") >= least).toArrow().to_pandas()  # at most 1 / SHARE of a text's n-grams per language
