@@ -18,7 +18,7 @@ from tidemark.streaming import windows
 
 def bundle(id_, events=(), weight=100, url="https://www.example.com/a/b", ua="desktop:windows", **more):
     keys = ("checkpoint", "source", "target", "value", "timeDelta")
-    return {"id": id_, "host": "www.example.com", "time": "2024-05-06T05:10:00Z", "timeSlot": "2024-05-06T05:00:00Z", "url": url, "userAgent": ua, "hostType": "helix", "weight": weight, "domain": None, "events": [dict(zip(keys, (*e, *[None] * (5 - len(e))))) for e in events], **more}
+    return {"id": id_, "host": "www.example.com", "time": "2024-05-06T05:10:00Z", "timeSlot": "2024-05-06T05:00:00Z", "url": url, "userAgent": ua, "hostType": "external", "weight": weight, "domain": None, "events": [dict(zip(keys, (*e, *[None] * (5 - len(e))))) for e in events], **more}
 
 
 def frame(spark, *rows):
