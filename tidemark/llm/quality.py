@@ -1,12 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word and each character n-gram hashes to a row of an embedding table; a
-document is the average of its features' vectors, a softmax layer turns it into
+Each word and each character n-gram hashes to a row of an embedding table, and two
+more rows stand for a word said again, at once or after one other; a document is the average of its features' vectors, a softmax layer turns it into
 class probabilities, and plain stochastic gradient descent in numpy trains both.
 Rows start at zero, so a feature never seen in training has no say.
 
 Training uses at most SAMPLE labelled documents (the smallest hashes of doc_id);
-a document's features are counts of at most 2 * BUCKETS rows, whatever its length.
+a document's features are counts of at most ROWS rows, whatever its length.
 Once trained, average and output layer are linear: a document's logit is the mean
 of one number per feature, so scoring gathers and adds, batch by batch.
 
@@ -27,12 +27,18 @@ from . import text as T
 from .spark import held_out
 
 BUCKETS, GRAMS, DIM, SAMPLE = 1 << 16, (3, 4), 8, 3000
+ROWS = 2 * BUCKETS + 2
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of a buffer's words and character n-grams, and their documents."""
     st, en, row = T.words(buf, off)
-    rows, docs = [(T.span_hashes(buf, st, en) % np.uint64(BUCKETS)).astype(np.int32)], [row]
+    h = T.span_hashes(buf, st, en)
+    rows, docs = [(h % np.uint64(BUCKETS)).astype(np.int32)], [row]
+    for k in (1, 2):  # a word said again, at once or after one other
+        again = row[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])]
+        rows.append(np.full(len(again), 2 * BUCKETS + k - 1, np.int32))
+        docs.append(again)
     for n in GRAMS:
         h, row = T.byte_ngrams(buf, off, n)
         rows.append((h % np.uint64(BUCKETS)).astype(np.int32) + BUCKETS)
@@ -44,11 +50,11 @@ def _counts(batches):
     for b in batches:
         for lo, buf, off in T.pieces(b["text"]):
             rows, docs = features(buf, off)
-            key, n = np.unique(docs * (2 * BUCKETS) + rows, return_counts=True)
-            cut = np.searchsorted(key // (2 * BUCKETS), np.arange(len(off)))
+            key, n = np.unique(docs * ROWS + rows, return_counts=True)
+            cut = np.searchsorted(key // ROWS, np.arange(len(off)))
             part = b.slice(lo, len(off) - 1)
             yield pa.RecordBatch.from_arrays(
-                [part["key"], part["label"]] + [pa.array([a[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for a in (key % (2 * BUCKETS), n)],
+                [part["key"], part["label"]] + [pa.array([a[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for a in (key % ROWS, n)],
                 ["key", "label", "rows", "counts"],
             )
 
@@ -56,7 +62,7 @@ def _counts(batches):
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int = 2, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient descent; returns each table row's logits and the bias."""
     rng = np.random.default_rng(seed)
-    table, out, bias = np.zeros((2 * BUCKETS, DIM)), rng.normal(0, 1, (DIM, classes)), np.zeros(classes)
+    table, out, bias = np.zeros((ROWS, DIM)), rng.normal(0, 1, (DIM, classes)), np.zeros(classes)
     steps, step = max(1, epochs * len(examples)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):
@@ -83,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     y = got["label"].to_numpy().astype(int)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()), 0.01), 0.99) if len(y) else 0.5
-        return np.zeros(2 * BUCKETS, np.float32), float(np.log(share / (1 - share)))
+        return np.zeros(ROWS, np.float32), float(np.log(share / (1 - share)))
     read = lambda c: [np.frombuffer(x, np.int32) for x in got[c].to_pylist()]
     logits, bias = train(list(zip(read("rows"), read("counts"), y)))
     return (logits[:, 1] - logits[:, 0]).astype(np.float32), float(bias[1] - bias[0])
@@ -91,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS numbers
 
     def run(batches):
         weights, bias = shared.value
