@@ -299,6 +299,9 @@ def test_sentencepiece(spark, sf_dir, corpus, odd, none):
         ids = sptok.encode(t, m)
         assert ids == sp.encode(t), t[:80]
         assert sptok.decode(ids, m) == t
+    for t in ("a" * 9_000, "=" * 9_000, " " * 9_000, "".join(rng.choice(list("abcdetheion"), 20_000))):  # several chunks, nowhere to cut
+        ids = sptok.encode(t, m)
+        assert ids == sp.encode(t) and sptok.decode(ids, m) == t
     v = m.vocabulary
     for t in [s for s in texts if " " not in s[:60]][:40] + ["".join(rng.choice(list("abcdetheion"), 400)) for _ in range(6)]:
         s = sptok.SPACE + "".join(t.split())[:400]
