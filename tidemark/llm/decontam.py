@@ -14,8 +14,8 @@ filtered this way and match nothing. Overlapping matches of one passage count on
 the closest first. Passages are broadcast in blocks of at most BLOCK bytes, a scan
 per block, so a benchmark of any size is served with bounded memory.
 
-Null texts have no matches; repeated rows are reported alike; a null doc_id is
-reported as null; extra columns are ignored.
+Null texts have no matches; repeated rows of documents are reported alike; a null
+doc_id is reported as null; repeated passages count once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 Q, RATE, BLOCK = 12, 0.06, 4 << 20
+CELLS = 1 << 20
 SCHEMA = "doc_id long, item_id long, start long, end long, distance int, shared int, needed int, passage_bytes int"
 
 
@@ -150,6 +151,18 @@ def align(passages: list[np.ndarray], texts: list[np.ndarray], first: np.ndarray
     return (cell >> np.int64(24)).astype(int), first + (cell & np.int64((1 << 24) - 1)), first + best + size
 
 
+def _runs(order: np.ndarray, m: np.ndarray, e: np.ndarray):
+    """Parts of order, by ascending m, whose alignments share about CELLS cells: long passages go few at a time."""
+    begin = 0
+    for k in range(len(order)):
+        last = order[k]
+        if k > begin and (k - begin + 1) * (m[last] + 2 * e[last]) > CELLS:
+            yield order[begin:k]
+            begin = k
+    if len(order):
+        yield order[begin:]
+
+
 def _scan(index: Index, batches):
     for b in batches:
         out = []
@@ -158,8 +171,7 @@ def _scan(index: Index, batches):
             row, item, diag, count = index.bands(buf, at)
             found: dict = {}
             order = np.argsort(index.m[item], kind="stable")
-            for k in range(0, len(order), 256):
-                o = order[k : k + 256]
+            for o in _runs(order, index.m[item], index.e[item]):
                 texts = [buf[at[r] : at[r + 1]] for r in row[o]]
                 dist, start, end = align([index.text[i] for i in item[o]], texts, diag[o], np.maximum(1, 2 * index.e[item[o]] + 1))
                 for j, d, s, e in zip(o, dist, start, end):
@@ -181,12 +193,12 @@ def _scan(index: Index, batches):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row per match: doc_id, item_id, start, end (code points of the text), distance, shared, needed, passage_bytes."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
     context, found = docs.sparkSession.sparkContext, []
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about block bytes
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about block bytes
         shared = context.broadcast(Index([tuple(r) for r in rows]))
         found.append(docs.select("doc_id", "text").mapInArrow(lambda it, shared=shared: _scan(shared.value, it), SCHEMA))
     return functools.reduce(DataFrame.unionByName, found)
