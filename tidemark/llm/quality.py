@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Train on labelled documents (doc_id, label); returns weights by table row, and the bias."""
     chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "key")), "key")  # at most sample rows
+    rows = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "key")), "key")
+    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"))  # at most sample rows, however often an id is repeated
     got = rows.select("key", "label", "text").mapInArrow(_counts, "key long, label int, rows binary, counts binary").toArrow().sort_by("key")
     y = got["label"].to_numpy().astype(int)
     if not len(y) or y.min() == y.max():
