@@ -156,9 +156,18 @@ def test_decontaminate(spark, odd, none):
     blocks = decontam.find_contamination(odd, bench, block=10)
     assert sorted(map(str, blocks.collect())) == sorted(map(str, hit.collect()))
     assert sorted(map(str, (r["doc_id"] for r in decontam.drop_contaminated(odd, bench).collect()))) == sorted(map(str, [2, 3, 4, None, 8, 9, 10, 11, 12]))
+    again = bench.unionByName(bench).unionByName(bench.where("item_id = 5"))  # repeated passages count once
+    assert sorted(map(str, decontam.find_contamination(odd, again, block=10).collect())) == sorted(map(str, hit.collect()))
     assert decontam.find_contamination(none, bench).count() == 0 and decontam.find_contamination(odd, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_runs():
+    m = np.array([50, 60, 70, decontam.CELLS, 2 * decontam.CELLS])
+    got = list(decontam._runs(np.arange(5), m, m // 20))
+    assert [x.tolist() for x in got] == [[0, 1, 2], [3], [4]]
+    assert list(decontam._runs(np.zeros(0, int), m, m)) == []
+
+
 def test_decontaminate_tables(spark, sf_dir, corpus):
     items = {r["item_id"]: r["text"] for r in table(spark, sf_dir, "benchmark").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, sf_dir).collect()}
@@ -324,6 +333,15 @@ def test_language(spark, sf_dir, corpus, odd, none):
     assert {r["lang_pred"] for r in langid.identify_language(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_repeated_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hot = docs.where("doc_id = 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")  # one id holds most rows
+    got = {r["doc_id"]: r for r in langid.identify_language(docs.unionByName(hot)).collect()}
+    want = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert np.mean([got[i]["lang_pred"] == want[i] for i in want if got[i]["held_out"]]) >= 0.95
+    assert all(0 <= r["known"] <= 1 for r in got.values())
+
+
 def test_language_filters():
     rng = np.random.default_rng(1)
     own = {f"l{k:02}": rng.integers(0, 1 << 63, 500).astype(np.uint64) for k in range(11)}

@@ -41,6 +41,19 @@ def test_rejected(spark, sf_dir, tmp_path):
     assert got.where("doc_id >= 1000000").count() == 0 and got.count() == docs.count()
 
 
+def test_other_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = [
+        (-1, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "fi", "x", 1),
+        (-2, "Все люди рождаются свободными и равными в своем достоинстве и правах.", "ru", "x", 1),
+        (-3, "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.", None, "x", 1),
+    ]
+    foreign = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select([F.col(f.name).cast(f.dataType) for f in docs.schema])
+    # learned from docs alone: one document is too few to make a language, so its own n-grams are no filter
+    got = corpus_pipeline.language(spark, docs.unionByName(foreign), sf_dir)
+    assert got.where("doc_id < 0").count() == 0 and got.count() == docs.count()
+
+
 def test_empty(spark, sf_dir, tmp_path):
     for name in ("documents", "benchmark"):
         table(spark, sf_dir, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -12,7 +12,12 @@ share that the n-gram has in any other language. Results are
 `und` with score 0 for a null text, a text without a letter, or one no learned
 n-gram matches; ties go to the first language in code point order. Null langs
 aren't learned; without training rows all is `und`. Extra columns are ignored;
-repeated rows give repeated results.
+repeated rows give repeated results. Samples count distinct ids, so a repeated id is no
+hot key; rows with a null doc_id are predicted but not learned.
+
+score compares the learned languages with each other only, and so says nothing of a
+text in none of them; `known` does: the share of all the text's n-grams that the
+predicted language's filter holds (0 for `und`).
 """
 
 from __future__ import annotations
@@ -79,13 +84,14 @@ class Filters:
 def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
     """Learn filters from documents with lang."""
     docs = docs.where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}  # a row per language
+    ids = docs.where("doc_id is not null").select("doc_id", "lang").distinct()
+    sizes = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
         return Filters({}, size)
     # few more rows than asked for are ranked, however many there are: hashes under a bound that the language's size sets
     bound = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1 << 31, (4 * sample << 31) // v))]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= bound).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= bound).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     ids = ids.select("doc_id").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if len(sizes) * sample <= 100_000 else ids, "doc_id", "left_semi").select("lang", "text")
     n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -98,16 +104,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
 
 
 def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
-    """The columns keep (with text last if asked), lang_pred and score."""
+    """The columns keep (with text last if asked), lang_pred, score and known."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     docs = docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*dict.fromkeys([*keep, "text"]), "letter")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", lang_pred string, score double, known double"
 
     def run(batches):
         f = shared.value
         names = np.array([*f.langs, "und"], dtype=object)
         for b in batches:
-            best, sure = [np.zeros(0, int)], [np.zeros(0)]
+            best, sure, known = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
             for lo, buf, off in T.pieces(b["text"]):
                 h, row = grams(buf, off)
                 c = f.counts(h, row, len(off) - 1) if f.langs else np.zeros((len(off) - 1, 1))
@@ -115,12 +121,13 @@ def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
                 good = b["letter"].slice(lo, len(c)).to_numpy(zero_copy_only=False) & (total > 0)
                 best.append(np.where(good, c.argmax(axis=1), len(f.langs)))
                 sure.append(np.where(good, c.max(axis=1) / np.maximum(total, 1e-9), 0))
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure))], [*keep, "lang_pred", "score"])
+                known.append(np.where(good, c.max(axis=1) / np.maximum(1, np.bincount(row, minlength=len(c))), 0))
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure)), pa.array(np.concatenate(known))], [*keep, "lang_pred", "score", "known"])
 
     return docs.mapInArrow(run, schema)
 
 
 def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learns outside the held-out fifth."""
+    """doc_id, held_out, lang_pred, score, known; learns outside the held-out fifth."""
     docs = docs.select("doc_id", "text", "lang", held_out(5, 0).alias("held_out"))
     return predict(docs, fit(docs.where("not held_out"), sample), "doc_id", "held_out")
