@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontam, langid, neardup, pii, sptok
 from tidemark.llm.spark import held_out, shared_dir, table
 
-#: Least share of a document's recognised n-grams that its language must have.
+#: Least share of all a document's n-grams that its language's filter must hold.
 SURE = 0.2
 
 
@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no learned language; lang becomes the predicted one."""
     filters = langid.fit(docs.where(~held_out(5, 0)))
     told = langid.predict(docs, filters, *docs.columns)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= SURE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
