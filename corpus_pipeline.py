@@ -21,13 +21,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
+    """Keeps the row of the smallest doc_id of each group of near-duplicates; rows without a doc_id come last."""
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that hold a benchmark passage; known by their text, as ids may repeat or be null."""
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("doc_id"), "text")
+    return decontam.drop_contaminated(rows, table(spark, sf_dir, "benchmark")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -417,6 +417,18 @@ def test_near_duplicates(spark, sf_dir, corpus, odd, none):
     assert kept.columns == odd.columns and kept.count() == len({r["component_id"] for r in neardup.near_duplicates(odd).collect()})
 
 
+def test_keep_one_of_ids_that_do_not_tell(spark):
+    other = "Nine grey herons watched the slow river turn silver under an early winter moon near the old mill"
+    third = "A baker in the harbour town sold forty loaves of rye bread to sailors bound for distant ports"
+    rows = [(1, FOX, None), (None, FOX, None), (7, other, None), (7, FOX, None), (None, third, None), (None, third, None), (None, "lone words that nobody else has written down anywhere", None), (9, None, None), (None, "", None)]
+    want = sorted([(1, FOX), (7, other), (None, third), (None, rows[6][1]), (9, None)], key=str)
+    for n in (1, 5):
+        got = neardup.keep_one(docs(spark, rows).repartition(n))
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == want
+    odd = docs(spark, rows)
+    assert got.columns == odd.columns and got.dtypes == odd.dtypes
+
+
 def test_near_duplicate_links(spark):
     rng = np.random.default_rng(8)
     marks = [0]

@@ -34,6 +34,17 @@ def test_run(spark, sf_dir):
     assert got == want
 
 
+def test_ids_that_do_not_tell(spark, sf_dir):
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    plain = "Nine grey herons watched the slow river turn silver under an early winter moon near the old mill"
+    rows = [(-1, item), (-1, plain), (None, "Here it is: " + item), (None, "lone words that nobody else has written down anywhere")]
+    docs = table(spark, sf_dir, "documents")
+    at = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select([F.col(f.name).cast(f.dataType) for f in docs.schema])
+    at = corpus_pipeline.near_duplicates(spark, at, sf_dir)
+    got = corpus_pipeline.decontaminate(spark, at, sf_dir)
+    assert got.columns == docs.columns and {(r["doc_id"], r["text"]) for r in got.collect()} == {rows[1], rows[3]}
+
+
 def test_rejected(spark, sf_dir, tmp_path):
     docs = table(spark, sf_dir, "documents")
     odd = docs.limit(3).withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.element_at(F.array(F.lit(""), F.lit("12 34"), F.lit(None)), (F.col("doc_id") % 3 + 1).cast("int"))})

@@ -54,17 +54,17 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The column key and the text's fingerprint as a signed long."""
 
     def run(batches):
         for b in T.slices(batches):
             col = T.strings(b["text"])
             off, buf = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1].tolist(), memoryview(col.buffers()[2] or b"")
             out = np.array([fingerprint(bytes(buf[i:j])) for i, j in zip(off, off[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out.view(np.int64))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(out.view(np.int64))], [key, "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, bits long")
 
 
 def forest(x: np.ndarray) -> list[tuple[int, int]]:
@@ -116,18 +116,31 @@ def links(prints: DataFrame) -> DataFrame:
     return sorted_lists.mapInArrow(_linked, "a long, b long").distinct()
 
 
+def _rooted(of_bits: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints `bits` with the root of their component."""
+    roots = components(links(of_bits))
+    return of_bits.join(roots, of_bits["bits"] == roots["node"], "left").select(*of_bits.columns, F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable)."""
     prints = checkpointed(fingerprints(docs))
-    roots = components(links(prints))
-    of_bits = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    of_bits = of_bits.join(roots, of_bits["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    of_bits = _rooted(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     classes = of_bits.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_bits.join(classes, "root").select(F.col("bits").alias("class"), "component_id")
     return prints.join(named, F.col("bits") == F.col("class")).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the near-duplicates of a smaller doc_id; one row per kept doc_id."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component: that of the least doc_id (nulls last), then of the least digest.
+
+    A row is known by a digest of all its columns, so rows that share a doc_id or have
+    none are told apart, and which one stays depends on nothing but the rows.
+    """
+    # to_json leaves nulls out, so null and empty differ
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.sha2(F.to_json(F.struct("*")), 256)).alias("digest")).alias("key"), "text")
+    prints = checkpointed(fingerprints(rows, "key"))
+    of_bits = _rooted(prints.groupBy("bits").agg(F.min("key").alias("first")))
+    keep = of_bits.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias("digest"))
+    rows = rows.select("row", F.col("key.digest").alias("digest"))
+    return rows.dropDuplicates(["digest"]).join(keep, "digest", "left_semi").select("row.*")
