@@ -10,13 +10,15 @@ from tidemark.llm.spark import held_out, shared_dir, table
 
 #: Least share of all a document's n-grams that its language's filter must hold.
 SURE = 0.2
+#: Fewer n-grams than these are too little evidence to reject a document by.
+EVIDENCE = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language; lang becomes the predicted one."""
-    filters = langid.fit(docs.where(~held_out(5, 0)))
+    """Rejects documents without a letter or, with EVIDENCE of it, in no learned language; lang becomes the predicted one."""
+    filters = langid.fit(docs.where(~held_out(5, 0)), fewest=2)
     told = langid.predict(docs, filters, *docs.columns)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= SURE))
+    kept = told.where((F.col("lang_pred") != "und") & ((F.col("known") >= SURE) | (F.col("grams") < EVIDENCE)))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

@@ -342,6 +342,20 @@ def test_language_repeated_ids(spark, sf_dir):
     assert all(0 <= r["known"] <= 1 for r in got.values())
 
 
+def test_language_of_every_text_with_a_letter(spark):
+    lines = ["the house by the river was old and they loved it", "das haus am fluss war alt und sie liebten es sehr", "la casa junto al rio era vieja y la amaban mucho"]
+    rows = [(i, lines[i % 3] + f" {i}", ("en", "de", "es")[i % 3]) for i in range(60)] + [(7000, "kaikki ihmiset syntyvät vapaina ja tasavertaisina", "fi")]
+    short = ["A.", "y", "Ж", "w?", "x" * 9, "中文字"]
+    rows += [(1000 + i, t, None) for i, t in enumerate(short)] + [(2000, "12 34", "en"), (2001, "ihmiset vapaina", None)]
+    filters = langid.fit(docs(spark, rows).where("doc_id < 1000 or doc_id = 7000"))
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, rows), filters, "doc_id").collect()}
+    assert all(got[1000 + i]["lang_pred"] in ("en", "de", "es", "fi") and 0 < got[1000 + i]["score"] <= 1 for i in range(len(short)))
+    assert got[1001]["lang_pred"] == "es" and got[1003]["lang_pred"] in ("de", "en")  # 'y' alone is a word of one of them
+    assert got[2000]["lang_pred"] == "und" and got[2000]["score"] == 0
+    assert got[2001]["lang_pred"] == "fi" and got[2001]["known"] == 1  # learned from one document
+    assert all(got[i]["lang_pred"] == ("en", "de", "es")[i % 3] for i in range(60))
+
+
 def test_language_filters():
     rng = np.random.default_rng(1)
     own = {f"l{k:02}": rng.integers(0, 1 << 63, 500).astype(np.uint64) for k in range(11)}

@@ -52,6 +52,12 @@ def test_rejected(spark, sf_dir, tmp_path):
     assert got.where("doc_id >= 1000000").count() == 0 and got.count() == docs.count()
 
 
+def test_short(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    short = docs.limit(3).withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.element_at(F.array(F.lit("A."), F.lit("y"), F.lit("Ok")), (F.col("doc_id") % 3 + 1).cast("int"))})
+    assert corpus_pipeline.language(spark, docs.unionByName(short), sf_dir).where("doc_id >= 1000000").count() == 3
+
+
 def test_other_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [

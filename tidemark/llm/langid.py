@@ -7,17 +7,21 @@ is corrected for the filter's false positives, (c - n f) / (1 - f) with f the
 fill to the power k, and the largest corrected count decides.
 
 Filters hold the n-grams of at most SAMPLE documents per language (the smallest
-hashes of doc_id) that occur in SHARE of them and in two at least, and in NEAR of the
-share that the n-gram has in any other language. Results are
-`und` with score 0 for a null text, a text without a letter, or one no learned
-n-gram matches; ties go to the first language in code point order. Null langs
+hashes of doc_id) that occur in SHARE of them and in two at least (a language with one
+document keeps all of its own), and in NEAR of the share that the n-gram has in any
+other language of two documents or more. A text that no learned n-gram matches, say of
+one or two bytes, goes by its pairs of neighbouring bytes, a blank before and after it,
+and the languages' numbers of documents: its score is the posterior of naive Bayes.
+Results are `und` with score 0 for a null text or a text without a letter only; ties go
+to the first language in code point order. Null langs
 aren't learned; without training rows all is `und`. Extra columns are ignored;
 repeated rows give repeated results. Samples count distinct ids, so a repeated id is no
 hot key; rows with a null doc_id are predicted but not learned.
 
 score compares the learned languages with each other only, and so says nothing of a
 text in none of them; `known` does: the share of all the text's n-grams that the
-predicted language's filter holds (0 for `und`).
+predicted language's filter holds (0 for `und` and where pairs decide), of the number
+`grams`.
 """
 
 from __future__ import annotations
@@ -38,6 +42,12 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in got]), np.concatenate([r for _, r in got])
 
 
+def pairs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring bytes as numbers, white space and both ends of a row as a blank, and their rows."""
+    b = np.insert(np.where(T.SPACE[buf], np.uint8(32), T.LOWER[buf]), off, 32).astype(np.int64)
+    return b[:-1] << 8 | b[1:], np.repeat(np.arange(len(off) - 1), np.diff(off) + 1)
+
+
 def slots(h: np.ndarray, size: int = SLOTS):
     """The probes of hashes, by double hashing."""
     a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
@@ -53,13 +63,17 @@ def _distinct(batches):
             h, row = h[o], row[o]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            yield pa.RecordBatch.from_arrays([b["lang"].take(pa.array(row[new] + lo)), pa.array(h[new].view(np.int64))], ["lang", "gram"])
+            pair, at = pairs(buf, off)
+            pair, times = np.unique(at << 16 | pair, return_counts=True)
+            row = np.concatenate([row[new], pair >> 16])
+            gram, n = np.concatenate([h[new].view(np.int64), pair & 0xFFFF]), np.concatenate([np.ones(new.sum(), np.int64), times])
+            yield pa.RecordBatch.from_arrays([b["lang"].take(pa.array(row + lo)), pa.array(gram), pa.array(np.arange(len(gram)) >= new.sum()), pa.array(n)], ["lang", "gram", "pair", "n"])
 
 
 class Filters:
-    """Bit-sliced Bloom filters: one byte of languages per slot and slice of eight."""
+    """Bit-sliced Bloom filters: one byte of languages per slot and slice of eight; pairs of bytes as a last resort."""
 
-    def __init__(self, found: dict[str, np.ndarray], size: int = SLOTS):
+    def __init__(self, found: dict[str, np.ndarray], size: int = SLOTS, seen: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, sizes: dict[str, int] | None = None):
         self.langs, self.size = sorted(found), size
         self.masks = np.zeros((-(-len(found) // 8), size), np.uint8)
         for k, lang in enumerate(self.langs):
@@ -67,6 +81,23 @@ class Filters:
                 self.masks[k // 8, at] |= np.uint8(1 << k % 8)
         self.false = np.array([float(np.mean(self.masks[k // 8] >> (k % 8) & 1)) ** PROBES for k in range(len(found))])
 
+        # pairs that no language has say nothing: row 0
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *(keys for keys, _ in (seen or {}).values())]))
+        self.at = np.zeros(1 << 16, np.int64)
+        self.at[known] = np.arange(len(known)) + 1
+        self.logs = np.zeros((len(known) + 1, len(found)), np.float32)
+        for k, lang in enumerate(self.langs if seen else []):
+            times = np.ones(len(known))
+            times[self.at[seen[lang][0]] - 1] += seen[lang][1]
+            self.logs[1:, k] = np.log(times / max(1, times.sum()))
+        self.prior = np.log([(sizes or {}).get(lang, 1) for lang in self.langs])
+
+    def guess(self, pair: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Posteriors of the languages by row, from pairs of bytes and the prior."""
+        out = np.stack([np.bincount(row, self.logs[self.at[pair], k], rows) for k in range(len(self.langs))], axis=1) + self.prior
+        out = np.exp(out - out.max(axis=1, keepdims=True))
+        return out / out.sum(axis=1, keepdims=True)
+
     def counts(self, h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Corrected numbers of n-grams by row and language."""
         out, probes = np.zeros((rows, len(self.langs))), list(slots(h, self.size))
@@ -81,8 +112,8 @@ class Filters:
         return np.maximum(0, (out - n * self.false) / np.maximum(1e-9, 1 - self.false))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
-    """Learn filters from documents with lang."""
+def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS, fewest: int = 1) -> Filters:
+    """Learn filters from documents with lang, for languages with `fewest` documents at least."""
     docs = docs.where("lang is not null and text is not null")
     ids = docs.where("doc_id is not null").select("doc_id", "lang").distinct()
     sizes = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}  # a row per language
@@ -94,35 +125,44 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS) -> Filters:
     ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= bound).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     ids = ids.select("doc_id").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if len(sizes) * sample <= 100_000 else ids, "doc_id", "left_semi").select("lang", "text")
-    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    seen = rows.mapInArrow(_distinct, "lang string, gram long").groupBy("lang", "gram").count()
-    least = F.greatest(F.lit(2), F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(np.ceil(SHARE * v))))]), F.col("lang"))) if n else F.lit(2)
-    kept = seen.where(F.col("count") >= least).toArrow().to_pandas()  # at most 1 / SHARE of a text's n-grams per language
-    share = kept["count"] / kept["lang"].map(n)
-    kept = kept[share >= NEAR * share.groupby(kept["gram"]).transform("max")]
-    return Filters({k: kept["gram"][kept["lang"] == k].to_numpy(np.int64).view(np.uint64) for k in n}, size)
+    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect() if r[1] >= fewest}
+    if not n:
+        return Filters({}, size)
+    seen = rows.mapInArrow(_distinct, "lang string, gram long, pair boolean, n long").groupBy("lang", "gram", "pair").agg(F.sum("n").alias("count"))
+    least = F.element_at(F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, max(min(2, v), int(np.ceil(SHARE * v))))]), F.col("lang"))
+    kept = seen.where(F.col("pair") & F.col("lang").isin(*n) | (F.col("count") >= least)).toArrow().to_pandas()  # at most 1 / SHARE of a text's n-grams and 65,536 pairs per language
+    pair, kept = kept[kept["pair"]], kept[~kept["pair"]]
+    share, rival = kept["count"] / kept["lang"].map(n), kept["lang"].map(n) > 1  # one document says little of what is frequent
+    kept = kept[share >= NEAR * share.where(rival, 0).groupby(kept["gram"]).transform("max")]
+    of = lambda df, c, k: df[c][df["lang"] == k].to_numpy(np.int64)
+    return Filters({k: of(kept, "gram", k).view(np.uint64) for k in n}, size, {k: (of(pair, "gram", k), of(pair, "count", k)) for k in n}, sizes)
 
 
 def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
-    """The columns keep (with text last if asked), lang_pred, score and known."""
+    """The columns keep (with text last if asked), lang_pred, score, known and grams."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     docs = docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*dict.fromkeys([*keep, "text"]), "letter")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", lang_pred string, score double, known double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", lang_pred string, score double, known double, grams long"
 
     def run(batches):
         f = shared.value
         names = np.array([*f.langs, "und"], dtype=object)
         for b in batches:
-            best, sure, known = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
+            best, sure, known, count = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, int)]
             for lo, buf, off in T.pieces(b["text"]):
                 h, row = grams(buf, off)
                 c = f.counts(h, row, len(off) - 1) if f.langs else np.zeros((len(off) - 1, 1))
-                total = c.sum(axis=1)
-                good = b["letter"].slice(lo, len(c)).to_numpy(zero_copy_only=False) & (total > 0)
+                good = b["letter"].slice(lo, len(c)).to_numpy(zero_copy_only=False) & bool(f.langs)
+                n, most = np.bincount(row, minlength=len(c)), c.max(axis=1)
+                weak = good & (most <= 0)
+                if weak.any():
+                    pair, row = pairs(buf, off)
+                    c[weak] = f.guess(pair[weak[row]], row[weak[row]], len(c))[weak]
                 best.append(np.where(good, c.argmax(axis=1), len(f.langs)))
-                sure.append(np.where(good, c.max(axis=1) / np.maximum(total, 1e-9), 0))
-                known.append(np.where(good, c.max(axis=1) / np.maximum(1, np.bincount(row, minlength=len(c))), 0))
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure)), pa.array(np.concatenate(known))], [*keep, "lang_pred", "score", "known"])
+                sure.append(np.where(good, c.max(axis=1) / np.maximum(c.sum(axis=1), 1e-9), 0))
+                known.append(np.where(good, most / np.maximum(1, n), 0))
+                count.append(n)
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure)), pa.array(np.concatenate(known)), pa.array(np.concatenate(count))], [*keep, "lang_pred", "score", "known", "grams"])
 
     return docs.mapInArrow(run, schema)
 
@@ -130,4 +170,4 @@ def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
 def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, known; learns outside the held-out fifth."""
     docs = docs.select("doc_id", "text", "lang", held_out(5, 0).alias("held_out"))
-    return predict(docs, fit(docs.where("not held_out"), sample), "doc_id", "held_out")
+    return predict(docs, fit(docs.where("not held_out"), sample), "doc_id", "held_out").drop("grams")
