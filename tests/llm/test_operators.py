@@ -470,3 +470,20 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
     assert components.components(edges.limit(0)).count() == 0
+
+
+def thue(a, b, n=10):
+    """Two words of 2 ** n letters that collide under every polynomial hash modulo 2 ** 64."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_katz_words_that_hashes_confuse(spark):
+    x, y = thue("a", "b", 11)
+    train, asked = (next(i for i in range(50, 99) if (zlib.crc32(str(i).encode()) % 7 == 2) == held) for held in (False, True))
+    rows = [(train, f"{x} one two"), (asked, f"{y} one {x}")]
+    got = katz.score(docs(spark, [(i, t, None) for i, t in rows])).collect()
+    close(got, brute_katz(rows))
+    assert {r["doc_id"]: r["n_known"] for r in got}[asked] == 3  # one, the first word and the end

@@ -6,26 +6,28 @@ Katz's discount for r up to 5, else 1, and at most 1 - FLOOR / r, so each histor
 leaves mass to back off to. alpha(h) makes the probabilities of all words, the
 unknown one included, sum to 1 exactly, for every history.
 
-The counts are tables partitioned by hash, built and asked chunk by chunk:
-
-1. a chunk (about 8 MB of documents) sends its distinct words and pairs with their
-   training counts, packed and sorted, to the owners of ranges of the hash space;
-2. owners add up, and answer each chunk with the total counts of what it sent; one
-   of the chunks that hold a pair is made its speaker;
-3. with the answers a chunk scores its seen pairs, and sends, by history: the
-   discount classes of the pairs it speaks for (with the classes of their words),
-   and the documents that must back off from that history;
-4. owners of histories add up the classes, compute alpha and return log alpha
-   summed by document; a last aggregation adds both parts.
-
-A chunk sends each word and pair once, so frequent ones are no hot keys, and what
-moves grows with the distinct pairs per chunk. Counts of counts are one small row.
+The counts are tables dealt to owners, built and asked chunk by chunk (about 8 MB of
+documents each, see spark.chunked):
+
+1. a chunk sends its distinct words, as they are spelt, with their training counts;
+   a word's owner tells every chunk that has it the total, and the word's number;
+2. a chunk sends its distinct pairs as two numbers each, with their counts and the
+   word's total; a pair's owner tells the totals to the chunks that have it, and
+   sums up, by history, the classes of its pairs' counts and their words' P;
+3. those sums, added by history, give alpha, which a word's owner returns to the
+   chunks that have the word as a history;
+4. a chunk scores its documents by the totals and alphas it was told.
+
+Identity is exact: words by their bytes, pairs by their words' numbers; hashes only
+deal. A chunk sends a word or pair once however often it has it, and the pairs of a
+history are dealt over owners in proportion to its count, so nothing frequent is a hot
+key; one row per history and owner at most is added up for alpha.
 
 Tokens are runs of bytes other than white space, A-Z in lower case, and an end per
 document; the first token's history is a start symbol. Null texts count as empty
 (one end token); a null doc_id is scored, and counts as the empty text for the
 split; repeated rows count and score each. Without training rows every token is
-unknown with probability 1.
+unknown with probability 1. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ from . import text as T
 from .spark import chunked, held_out
 from .substring import _ddl, _table
 
-CLASSES, FLOOR = 5, 0.1
-END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
-WORD, PAIR, BACK, DOC = 0, 1, 2, 3
-SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-COUNTED = pa.schema([("kind", pa.int32()), ("numbers", pa.list_(pa.int64()))])
-MASS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary()), ("asks", pa.binary()), ("docs", pa.binary()), ("stats", pa.list_(pa.int64()))])
-SCORE = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("part_score", pa.float64())])
+CLASSES, FLOOR, SPREAD = 5, 0.1, 4
+END, START = b" ", -1
+WORD, PAIR, ALPHA = 0, 1, 2
+TOP = CLASSES + 1  # counts up to here are told apart
+SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("counts", pa.binary()), ("of", pa.binary())])
+TOLD = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+COUNTED = pa.schema([("numbers", pa.list_(pa.int64()))])
+MASS = pa.schema([("h", pa.int64()), *((f"t{r}", pa.int64()) for r in range(1, TOP + 2)), ("more", pa.int64()), ("lower", pa.float64())])
+SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -67,8 +71,8 @@ def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def unigrams(stats: np.ndarray) -> tuple[np.ndarray, float]:
-    """Discounts of words, and the unknown word's probability."""
-    n, v, ones = stats[0], stats[1], stats[2 : 3 + CLASSES]
+    """Discounts of words, and the unknown word's probability; stats are N, V and the numbers of words by count."""
+    n, v, ones = stats[0], stats[1], stats[2 : 2 + TOP]
     d = discounts(ones)
     if not n:
         return d, 1.0
@@ -77,207 +81,234 @@ def unigrams(stats: np.ndarray) -> tuple[np.ndarray, float]:
     return d, max(1e-12, 1 - seen / n)
 
 
-def tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token and history hashes, and rows, of a chunk."""
-    out = []
-    for lo, buf, off in T.pieces(docs["text"]):
+class Tokens:
+    """A chunk's tokens: numbers of distinct words (the end is the last), rows, and where documents begin."""
+
+    def __init__(self, docs: pa.Table):
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.rows, self.ids = len(docs), docs["doc_id"].to_pylist()
+        self.held = docs["held_out"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool) if len(docs) else np.zeros(0, bool)
+        off, buf = T.layout(T.strings(docs["text"]).cast(pa.large_binary()))
         buf = T.LOWER[buf]
         st, en, row = T.words(buf, off)
+        number, words = T.dictionary(buf, st, en)
+        self.words = pa.concat_arrays([words, pa.array([END], pa.large_binary())])
         n = len(off) - 1
-        last = np.searchsorted(row, np.arange(1, n + 1)) + np.arange(n)  # an end after each row's words
-        tok, rows = np.empty(len(st) + n, np.uint64), np.empty(len(st) + n, np.int32)
+        self.last = np.searchsorted(row, np.arange(1, n + 1)) + np.arange(n)  # an end after each row's words
+        self.tok, self.row = np.empty(len(st) + n, np.int64), np.empty(len(st) + n, np.int32)
         spot = np.arange(len(st)) + row
-        tok[spot], tok[last] = T.span_hashes(buf, st, en), END
-        rows[spot], rows[last] = row + lo, np.arange(n) + lo
-        hist = np.empty_like(tok)
-        hist[1:] = tok[:-1]
-        hist[np.append(0, last[:-1] + 1)] = START
-        out.append((tok, hist, rows))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))  # type: ignore[return-value]
+        self.tok[spot], self.tok[self.last] = number, len(words)
+        self.row[spot], self.row[self.last] = row, np.arange(n)
+        self.begin = np.zeros(len(self.tok), bool)
+        self.begin[np.append(0, self.last[:-1] + 1) if n else []] = True
+        self.learn = ~self.held[self.row]
+
+    def dealt(self, owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words in order of their owners, and where each owner's begin; the end is the last owner's, in every chunk."""
+        off, data = T.layout(self.words)
+        part = (T.span_hashes(data, off[:-1], off[1:]) % np.uint64(owners)).astype(np.int64)
+        part[-1] = owners - 1
+        order = np.argsort(part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(owners + 1))
+
+    def told(self, rows: pa.Table, owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and totals of the words, as their owners told."""
+        order, _ = self.dealt(owners)
+        out = []
+        for col in "ab":
+            x = np.empty(len(order), np.int64)
+            x[order] = np.concatenate([T.unpack(v, np.int64) for v in rows[col].to_pylist()])
+            out.append(x)
+        return tuple(out)  # type: ignore[return-value]
+
+
+class Pairs:
+    """A chunk's distinct pairs by owner: numbers of history and word, and each token's pair."""
+
+    def __init__(self, t: Tokens, number: np.ndarray, total: np.ndarray, n: int, starts: int, owners: int):
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)  # 0 is the start symbol
+        number, total = np.append(START, number[order]), np.append(starts, total[order])
+        w = rank[t.tok]
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[t.begin] = 0
+        keys, which = np.unique(h * len(number) + w, return_inverse=True)
+        h, w = keys // len(number), keys % len(number)
+        spread = 1 + SPREAD * owners * total[h] // max(1, n)  # a history with a share of all tokens has that share of owners
+        part = (T.mix((number[h] * 31 + number[w] % spread).astype(np.uint64)) % np.uint64(owners)).astype(np.int32)
+        o = np.argsort(part, kind="stable")
+        self.cut = np.searchsorted(part[o], np.arange(owners + 1))
+        back = np.empty(len(o), np.int64)
+        back[o] = np.arange(len(o))
+        self.which = back[which]
+        self.h, self.w, self.of = number[h[o]], number[w[o]], total[w[o]]
+
+
+def _send_words(key, docs: pa.Table, owners: int) -> pa.Table:
+    t = Tokens(docs)
+    order, cut = t.dealt(owners)
+    counts = np.bincount(t.tok[t.learn], minlength=len(t.words))
+    out = [(p, key[0].as_py(), *T.pack_words(t.words.take(pa.array(order[i:j]))), T.pack(counts[order[i:j]]), b"") for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+    T.release()
+    return _table(SENT, out)
+
+
+def _merge_words(sent: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Senders, each one's words as numbers from 0, and totals by number."""
+    sent = sent.sort_by("src")
+    words = [T.unpack_words(a, b) for a, b in zip(sent["a"].to_pylist(), sent["b"].to_pylist())]
+    number = pa.concat_arrays(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(number, np.concatenate([T.unpack(x, np.int64) for x in sent["counts"].to_pylist()])).astype(np.int64)  # exact below 2 ** 53
+    return sent["src"].to_pylist(), np.split(number, np.cumsum([len(x) for x in words])[:-1]), total
 
 
-def pair(tok: np.ndarray, hist: np.ndarray) -> np.ndarray:
-    return T.mix(hist * T._ROLL + tok)
+def _tell_words(key, sent: pa.Table, owners: int) -> pa.Table:
+    src, numbers, total = _merge_words(sent)
+    part = key[0].as_py()
+    out = [(part, s, WORD, T.pack(x.astype(np.int64) * owners + part), T.pack(total[x])) for s, x in zip(src, numbers)]
+    T.release()
+    return _table(TOLD, out)
 
 
-def _ordered(docs: pa.Table) -> pa.Table:
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def _count_words(key, sent: pa.Table) -> pa.Table:
+    total = _merge_words(sent)[2]
+    some = total[total > 0]
+    T.release()
+    return _table(COUNTED, [([int(some.sum()), len(some), *np.bincount(some[some <= TOP], minlength=TOP + 1)[1:].tolist()],)])
 
 
-def _held(docs: pa.Table) -> np.ndarray:
-    return docs["held_out"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool) if len(docs) else np.zeros(0, bool)
+def _stats(rows: pa.Table) -> tuple[np.ndarray, int]:
+    """Numbers of words (see unigrams), and of training documents."""
+    x = np.array(rows["stats"][0].as_py(), np.int64)
+    return x[:-1], int(x[-1])
 
 
-def _send(key, docs: pa.Table, parts: int) -> pa.Table:
-    docs = _ordered(docs)
-    tok, hist, row = tokens(docs)
-    learn, out = ~_held(docs)[row], []
-    for kind, h in ((WORD, tok), (PAIR, pair(tok, hist))):
-        o = np.argsort(h)
-        s = h[o]
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        counts = np.add.reduceat(learn[o].astype(np.int64), at)
-        keys = s[at]
-        cut = T.ranges(keys, parts)
-        out += [(p, key[0].as_py(), kind, T.pack_sorted(keys[i:j]), T.pack(counts[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+def _send_pairs(key, docs: pa.Table, told: pa.Table, owners: int) -> pa.Table:
+    if not len(docs):
+        return _table(SENT, [])
+    told = told.sort_by("part")
+    stats, starts = _stats(told)
+    t = Tokens(docs)
+    p = Pairs(t, *t.told(told, owners), int(stats[0]), starts, owners)
+    counts = np.bincount(p.which[t.learn], minlength=len(p.h))
+    out = [(k, key[0].as_py(), T.pack(np.diff(p.h[i:j], prepend=0)), T.pack(p.w[i:j]), T.pack(counts[i:j]), T.pack(p.of[i:j])) for k, (i, j) in enumerate(zip(p.cut, p.cut[1:])) if j > i]
     T.release()
     return _table(SENT, out)
 
 
-def _answer(key, sent: pa.Table, count_only: bool) -> pa.Table:
-    """Total counts for every sender, a pair's doubled plus 1 for its speaker; with count_only the counts of counts."""
-    out = []
-    for kind in (WORD, PAIR):
-        mine = sent.filter(pa.compute.equal(sent["kind"], kind)).sort_by("src")
-        if not len(mine):
-            continue
-        keys = [T.unpack_sorted(x) for x in mine["keys"].to_pylist()]
-        counts = np.concatenate([T.unpack(x, np.int64) for x in mine["counts"].to_pylist()])
-        h = np.concatenate(keys)
-        o = np.argsort(h, kind="stable")
-        s = h[o]
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        size, sums = np.diff(np.append(at, len(s))), np.add.reduceat(counts[o], at)
-        if count_only:
-            some = sums[sums > 0]
-            out.append((kind, [int(some.sum()), len(some), *np.bincount(some[some <= CLASSES + 1], minlength=CLASSES + 2)[1:].tolist()]))
-            continue
-        whole = np.empty(len(h), np.int64)
-        whole[o] = np.repeat(sums, size) * 2
-        if kind == PAIR:
-            have = np.where(counts[o] > 0, np.arange(len(s)), len(s))
-            speaker = np.minimum.reduceat(have, at)
-            whole[o[speaker[speaker < len(s)]]] += 1
-        begin = 0
-        for src, x in zip(mine["src"].to_pylist(), keys):
-            out.append((key[0].as_py(), src, kind, b"", T.pack(whole[begin : begin + len(x)])))
-            begin += len(x)
+def _merge_pairs(sent: pa.Table, more: bool):
+    """Senders' sizes, the order of all their pairs, where each distinct pair begins in it, and its total; with more also history and word's total."""
+    h = np.concatenate([np.cumsum(T.unpack(x, np.int64)) for x in sent["a"].to_pylist()] or [np.zeros(0, np.int64)])
+    w = [T.unpack(x, np.int64) for x in sent["b"].to_pylist()]
+    sizes, w = [len(x) for x in w], np.concatenate(w)
+    base = int(w.max()) + 1
+    o = np.argsort((h + 1) * base + w, kind="stable") if (int(h.max()) + 2) * base < 1 << 63 else np.lexsort((w, h))
+    hs, ws = h[o], w[o]
+    at = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])))
+    total = np.add.reduceat(np.concatenate([T.unpack(x, np.int64) for x in sent["counts"].to_pylist()])[o], at)
+    of = np.concatenate([T.unpack(x, np.int64) for x in sent["of"].to_pylist()])[o[at]] if more else None
+    return sizes, o, at, total, hs[at] if more else None, of
+
+
+def _tell_pairs(key, sent: pa.Table) -> pa.Table:
+    sent = sent.sort_by("src")
+    sizes, o, at, total, *_ = _merge_pairs(sent, False)
+    whole = np.empty(len(o), np.int64)
+    whole[o] = np.repeat(total, np.diff(np.append(at, len(o))))
+    out = [(key[0].as_py(), s, PAIR, T.pack(x), b"") for s, x in zip(sent["src"].to_pylist(), np.split(whole, np.cumsum(sizes)[:-1]))]
     T.release()
-    return _table(COUNTED if count_only else SENT, out)
+    return _table(TOLD, out)
 
 
-def _class(r: np.ndarray) -> np.ndarray:
-    return np.minimum(r, CLASSES + 1) - 1
+def _masses(key, sent: pa.Table) -> pa.Table:
+    """By history: pairs seen 1 .. TOP times and more often, what the latter sum to, and P of all pairs' words."""
+    stats, _ = _stats(sent)
+    *_, total, h, of = _merge_pairs(sent, True)
+    h, of, r = h[total > 0], of[total > 0], total[total > 0]
+    if not len(h):
+        return _table(MASS, [])
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    kinds = [np.add.reduceat((r == k).astype(np.int64), at) for k in range(1, TOP + 1)]
+    kinds += [np.add.reduceat(x, at) for x in ((r > TOP).astype(np.int64), np.where(r > TOP, r, 0))]
+    lower = np.add.reduceat(discounted(of, unigrams(stats)[0]) / max(1, stats[0]), at)
+    T.release()
+    return pa.table([pa.array(x) for x in (h[at], *kinds, lower)], schema=MASS)
+
+
+def alpha(kinds: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Backoff weights of histories: a row of t1 .. , more for each (see _masses), and its words' P."""
+    r = np.append(np.arange(1, TOP + 1), 0)
+    c = kinds[:, :-1] @ r + kinds[:, -1]
+    kept = kinds[:, : TOP + 1] @ np.append(discounted(np.arange(1, TOP + 1), d), -FLOOR) + kinds[:, -1]
+    return (1 - kept / np.maximum(1, c)) / np.maximum(1e-12, 1 - lower)
+
+
+def _tell_alphas(key, sent: pa.Table, mass: pa.Table, owners: int) -> pa.Table:
+    """log10 alpha of each word sent (0 if it is no history), and by the last owner of the start symbol."""
+    if not len(sent):
+        return _table(TOLD, [])
+    src, numbers, total = _merge_words(sent)
+    part, logs, first = key[0].as_py(), np.zeros(len(total)), []
+    if len(mass):
+        d = discounts(np.array(mass["pairs"][0].as_py(), np.int64))
+        h = mass["h"].to_numpy()
+        got = np.log10(alpha(np.stack([mass[c].to_numpy() for c in MASS.names[1:-1]], axis=1).astype(float), mass["lower"].to_numpy(), d))
+        logs[h[h != START] // owners] = got[h != START]
+        first = got[h == START].tolist()
+    out = [(part, s, ALPHA, T.pack(logs[x]), np.array(first).tobytes()) for s, x in zip(src, numbers)]
+    T.release()
+    return _table(TOLD, out)
 
 
-def _mass(key, docs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
-    docs = _ordered(docs)
+def _score(key, docs: pa.Table, told: pa.Table, owners: int) -> pa.Table:
     if not len(docs):
-        return _table(MASS, [])
-    stats = np.array(answers["stats"][0].as_py(), np.int64)
-    n, v, starts = int(stats[0]), int(stats[1]), int(stats[-1])
+        return _table(SCORE, [])
+    told = told.sort_by("part")
+    stats, starts = _stats(told)
+    n, v = int(stats[0]), int(stats[1])
     d1, unknown = unigrams(stats)
-    d2 = discounts(stats[3 + CLASSES : -1])
-    tok, hist, row = tokens(docs)
-    held = _held(docs)
-    learn = ~held[row]
-
-    def told(kind: int) -> np.ndarray:
-        mine = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("part")
-        return np.concatenate([T.unpack(x, np.int64) for x in mine["counts"].to_pylist()])
-
-    keys, word = np.unique(tok, return_inverse=True)
-    total = told(WORD) // 2
-    c = total[word]
-    before = np.empty_like(c)  # c of the history
-    before[1:] = c[:-1]
-    before[hist == START] = starts
-    pkeys, first, which = np.unique(pair(tok, hist), return_index=True, return_inverse=True)
-    got = told(PAIR)
-    r = (got // 2)[which]
+    d2 = discounts(np.array(told["pairs"][0].as_py(), np.int64))
+    words, pairs, alphas = (told.filter(pa.compute.equal(told["kind"], k)) for k in (WORD, PAIR, ALPHA))
+    t = Tokens(docs)
+    number, total = t.told(words, owners)
+    p = Pairs(t, number, total, n, starts, owners)
+    r = np.concatenate([T.unpack(x, np.int64) for x in pairs["a"].to_pylist()])[p.which]
+    order, _ = t.dealt(owners)
+    logs = np.empty(len(order))
+    logs[order] = np.concatenate([T.unpack(x, np.float64) for x in alphas["a"].to_pylist()])
+    first = np.frombuffer(alphas["b"][-1].as_py() or b"", np.float64)
+    c, back = total[t.tok], logs[t.tok]
+    before, weight = np.empty_like(c), np.empty_like(back)
+    before[1:], weight[1:] = c[:-1], back[:-1]
+    before[t.begin], weight[t.begin] = starts, first[0] if len(first) else 0
     p1 = np.where(c > 0, discounted(c, d1) / max(1, n), unknown)
-    seen = r > 0
     with np.errstate(divide="ignore"):
-        score = np.log10(np.where(seen, discounted(r, d2) / np.maximum(before, 1), p1))
+        score = np.where(r > 0, np.log10(discounted(r, d2) / np.maximum(before, 1)), np.log10(p1) + np.where(before > 0, weight, 0))
         base = np.log10((c + 1) / (n + (v + 1)))
-    rows = len(docs)
-    sums = [np.bincount(row, x, rows) for x in (score, base, c > 0)]
-    lens = np.bincount(row, minlength=rows)
-    ids = docs["doc_id"].to_pylist()
-    packed = [(key, k, ids[k], bool(held[k]), int(lens[k]), int(sums[2][k]), n, float(sums[1][k]), float(sums[0][k])) for k in range(rows)]
-
-    # pairs this chunk speaks for, by history and class of count; their words by class too
-    mine = first[(got & 1) == 1]
-    # tokens that back off from a history seen in training
-    back = np.flatnonzero(~seen & (before > 0))
-    hs, where = np.unique(np.concatenate([hist[mine], hist[back]]), return_inverse=True)
-    table = np.zeros((len(hs), 4 * (CLASSES + 1)), np.int64)
-    wm = where[: len(mine)]
-    for col, x in ((0, r[mine]), (CLASSES + 1, c[mine])):
-        np.add.at(table, (wm, col + _class(x)), 1)
-        np.add.at(table, (wm, 2 * (CLASSES + 1) + col + _class(x)), x)
-    o = np.argsort(where[len(mine) :], kind="stable")
-    ask_h, ask_row = where[len(mine) :][o], row[back][o]
-    cut, out = T.ranges(hs, parts), []
-    for p, (i, j) in enumerate(zip(cut, cut[1:])):
-        a, b = np.searchsorted(ask_h, [i, j])
-        if j > i:
-            out.append((p, BACK, T.pack_sorted(hs[i:j]), T.pack(table[i:j].reshape(-1)), T.pack((ask_h[a:b] - i).astype(np.int32)) if b > a else b"", T.pack(ask_row[a:b].astype(np.int32)) if b > a else b"", [*stats.tolist(), key]))
-    out.append((key % parts, DOC, b"", b"", b"", _ipc(_table(SCORE, packed)), [*stats.tolist(), key]))
+    base_score, score, known = (np.bincount(t.row, x, t.rows) for x in (base, score, c > 0))
     T.release()
-    return _table(MASS, out)
-
-
-def _ipc(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def alpha(table: np.ndarray, d1: np.ndarray, d2: np.ndarray, n: int) -> np.ndarray:
-    """Backoff weights of histories from their pairs' classes: numbers and sums, of pairs and of their words."""
-    k = CLASSES + 1
-    pairs, words, pair_sum, word_sum = (table[:, i * k : i * k + k].astype(float) for i in range(4))
-    mass = lambda types, sums, d: (sums[:, :CLASSES] * d[1:]).sum(1) + sums[:, CLASSES] - FLOOR * types[:, CLASSES]
-    seen = mass(pairs, pair_sum, d2) / np.maximum(1, pair_sum.sum(1))
-    lower = mass(words, word_sum, d1) / max(1, n)
-    return (1 - seen) / np.maximum(1e-12, 1 - lower)
-
-
-def _histories(key, sent: pa.Table) -> pa.Table:
-    out = [pa.ipc.open_stream(x).read_all() for x, kind in zip(sent["docs"].to_pylist(), sent["kind"].to_pylist()) if kind == DOC]
-    mine = sent.filter(pa.compute.equal(sent["kind"], BACK))
-    if len(mine):
-        stats = np.array(mine["stats"][0].as_py(), np.int64)[:-1]
-        keys = [T.unpack_sorted(x) for x in mine["keys"].to_pylist()]
-        hs, where = np.unique(np.concatenate(keys), return_inverse=True)
-        table, begin, at = np.zeros((len(hs), 4 * (CLASSES + 1)), np.int64), 0, []
-        for x, classes in zip(keys, mine["classes"].to_pylist()):
-            at.append(where[begin : begin + len(x)])
-            table[at[-1]] += T.unpack(classes, np.int64).reshape(len(x), -1)
-            begin += len(x)
-        logs = np.log10(alpha(table, unigrams(stats)[0], discounts(stats[3 + CLASSES : -1]), int(stats[0])))
-        for spots, asks, docs, s in zip(at, mine["asks"].to_pylist(), mine["docs"].to_pylist(), mine["stats"].to_pylist()):
-            if asks:
-                rows, which = np.unique(T.unpack(docs, np.int32), return_inverse=True)
-                sums = np.bincount(which, logs[spots[T.unpack(asks, np.int32)]])
-                none = pa.nulls(len(rows))
-                out.append(pa.table([pa.array(np.full(len(rows), s[-1], np.int32)), pa.array(rows), *(none.cast(f.type) for f in list(SCORE)[2:-1]), pa.array(sums)], schema=SCORE))
-    return pa.concat_tables(out) if out else _table(SCORE, [])
+    cols = (t.ids, t.held, np.bincount(t.row, minlength=t.rows), known.astype(np.int64), np.full(t.rows, n), base_score, score)
+    return pa.table([pa.array(x, f.type) for x, f in zip(cols, SCORE)], schema=SCORE)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for every document."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(7, 2).alias("held_out"))
-    base, n = chunked(docs, "held_out")
-    sent = base.groupBy("chunk").applyInArrow(lambda k, t: _send(k, t, n), _ddl(SENT)).repartition(n, "part")
-    owners = sent.groupBy("part")
-    answers = owners.applyInArrow(lambda k, t: _answer(k, t, False), _ddl(SENT))
-    counted = owners.applyInArrow(lambda k, t: _answer(k, t, True), _ddl(COUNTED))
-    stats = _stats(counted, base)
-    answers = answers.withColumn("stats", stats.scalar()).withColumnRenamed("src", "chunk").repartition(n, "chunk")
-    mass = base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda k, a, b: _mass(k[0].as_py(), a, b, n), _ddl(MASS))
-    parts = mass.repartition(n, "part").groupBy("part").applyInArrow(lambda k, t: _histories(k, t), _ddl(SCORE))
-    one = lambda c: F.max(c).alias(c)
-    return parts.groupBy("chunk", "row").agg(*[one(c) for c in SCORE.names[2:-1]], F.sum("part_score").alias("score")).drop("chunk", "row")
-
-
-def _stats(counted: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row: stats, an array of N, V, counts of counts of words, then of pairs, and the number of training documents."""
-    of = lambda kind, k: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("numbers")[k])), F.lit(0))
-    cols = [of(WORD, k) for k in range(3 + CLASSES)] + [of(PAIR, k) for k in range(2, 3 + CLASSES)]
-    # every training document has one pair that starts it and one end: the ends are its count
-    got = counted.agg(F.array(*cols).alias("stats"))
-    starts = docs.where("not held_out").agg(F.count("*").alias("starts"))
-    return got.select(F.array_append("stats", starts.scalar()).alias("stats"))
+    c = chunked(docs, "held_out")
+    n = c.owners
+    words = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda k, t: _send_words(k, t, n), _ddl(SENT)))
+    counted = words.groupBy("part").applyInArrow(lambda k, t: _count_words(k, t), _ddl(COUNTED))
+    starts = c.docs.where("not held_out").agg(F.count("*").alias("n")).scalar()
+    total = lambda k: F.coalesce(F.sum(F.col("numbers")[k]), F.lit(0))
+    stats = counted.agg(F.array(*[total(k) for k in range(2 + TOP)]).alias("x")).select(F.array_append("x", starts).alias("x")).scalar()
+    told = words.groupBy("part").applyInArrow(lambda k, t: _tell_words(k, t, n), _ddl(TOLD)).withColumnRenamed("src", "chunk")
+    pairs = c.owned(c.with_docs(c.home(told.withColumn("stats", stats)), lambda k, a, b: _send_pairs(k, a, b, n), _ddl(SENT)))
+    mass = pairs.withColumn("stats", stats).groupBy("part").applyInArrow(lambda k, t: _masses(k, t), _ddl(MASS)).groupBy("h").agg(*[F.sum(x).alias(x) for x in MASS.names[1:]])
+    classes = mass.agg(F.array(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)) for r in range(1, TOP + 1)]).alias("x")).scalar()
+    dealt = mass.withColumns({"part": F.pmod("h", F.lit(n)).cast("int"), "pairs": classes})
+    alphas = words.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda k, a, b: _tell_alphas(k, a, b, n), _ddl(TOLD))
+    more = pairs.groupBy("part").applyInArrow(lambda k, t: _tell_pairs(k, t), _ddl(TOLD)).unionByName(alphas).withColumnRenamed("src", "chunk")
+    every = told.unionByName(more).withColumns({"stats": stats, "pairs": classes})
+    return c.with_docs(c.home(every), lambda k, a, b: _score(k, a, b, n), _ddl(SCORE))

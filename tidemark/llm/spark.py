@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
+OWNERS, OWNER_BYTES, TASKS = 48, 128 << 20, 20_000
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base and found.isDefined():
         base = found.get()
-    elif not base:  # only where nothing is set, as in tests
+    elif not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     if found.isEmpty():
         spark.sparkContext.setCheckpointDir(base)
@@ -50,13 +54,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def chunked(docs: DataFrame, *more) -> tuple[DataFrame, int]:
-    """Documents dealt by a hash of doc_id into chunks of about CHUNK_BYTES, and their number.
+@dataclass(frozen=True)
+class Chunks:
+    """Documents by chunk; how many chunks there are, and owners of hash ranges."""
 
-    Their number follows the bytes of text, so a chunk fits a task at any size; a
+    docs: DataFrame
+    n: int
+    owners: int
+
+    def home(self, df: DataFrame) -> DataFrame:
+        """Rows dealt by chunk."""
+        return df.repartition(min(self.n, TASKS), "chunk")
+
+    def owned(self, df: DataFrame) -> DataFrame:
+        """Rows dealt by owner."""
+        return df.repartition(min(self.owners, TASKS), "part")
+
+    def with_docs(self, right: DataFrame, f, schema: str) -> DataFrame:
+        """f(documents, rows) for every chunk; the documents' shuffle is the same for all uses."""
+        return self.docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(f, schema)
+
+
+def chunked(docs: DataFrame, *more) -> Chunks:
+    """Documents dealt by a hash of doc_id and text into chunks of about CHUNK_BYTES.
+
+    The number of chunks follows the bytes of text, so a chunk fits a task at any size; a
     small table gets as many as there are shuffle partitions, of LEAST_BYTES at least.
+    Rows that share a doc_id, or have none, are dealt by their texts. Owners are a fixed
+    number until a range would exceed what OWNER_BYTES of text give; what a chunk sends
+    to an owner is one packed row, and there are never more rows than entries in them.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, -(-total // CHUNK_BYTES), min(partitions, total // LEAST_BYTES))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), *more).repartition(n, "chunk"), n
+    base = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), *more)
+    return Chunks(base.repartition(min(n, TASKS), "chunk"), n, max(OWNERS, -(-total // OWNER_BYTES)))

@@ -13,6 +13,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 LIMIT = 512 << 10
@@ -96,8 +97,35 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return st, en, np.searchsorted(off, st, side="right") - 1
 
 
+def dictionary(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each word's number in the array of distinct words, told apart by their bytes; numbered as they appear."""
+    off = np.zeros(len(st) + 1, np.int64)
+    np.cumsum(en - st, out=off[1:])
+    ink = buf[~SPACE[buf]] if len(st) else np.zeros(0, np.uint8)
+    got = binaries(off, ink).dictionary_encode()
+    return got.indices.to_numpy(zero_copy_only=False), got.dictionary
+
+
+def binaries(off: np.ndarray, data) -> pa.Array:
+    """Byte strings from their offsets and bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(data)])
+
+
+def layout(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of byte strings."""
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return off - off[0], data[off[0] : off[-1]]
+
+
+def strong_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """XXH3 of each byte string."""
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(w, seed) for w in words.to_pylist()], np.uint64)
+
+
 def span_hashes(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[st:en], from one prefix sum of a polynomial."""
+    """A 64-bit hash of each buf[st:en], from one prefix sum of a polynomial; made to spread, not to identify."""
     up, down = _powers_to(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
@@ -131,6 +159,17 @@ def byte_ngrams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(h + np.uint64(n * int(_ROLL) % (1 << 64))), rows[at]
 
 
+def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """Byte strings as zstd of their bytes, and their packed lengths."""
+    off, data = layout(words)
+    return zstandard.ZstdCompressor(level=1).compress(data.tobytes()), pack(np.diff(off).astype(np.int32))
+
+
+def unpack_words(data: bytes, lens: bytes) -> pa.Array:
+    off = np.append(0, np.cumsum(unpack(lens, np.int32), dtype=np.int64))
+    return binaries(off, zstandard.ZstdDecompressor().decompress(data))
+
+
 def pack(a: np.ndarray) -> bytes:
     """Numbers as zstd over transposed bytes."""
     a = np.ascontiguousarray(a)
