@@ -64,6 +64,14 @@ def test_quality(spark, sf_dir, odd, none):
     assert {r["score"] for r in quality.classify_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def thue(a, b, n=10):
+    """Two words of 2 ** n letters that collide under every polynomial hash modulo 2 ** 64."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
 def brute_repeats(rows, k):
     first = {}
     for i, t in rows:
@@ -103,18 +111,21 @@ def test_substring_many_chunks(spark, sf_dir, corpus, monkeypatch):
     assert got == brute_repeats([(i, r["text"]) for i, r in corpus.items()], 13)
 
 
-def test_substring_hash_collisions(spark, monkeypatch):
-    # all windows share few hashes: verification must keep what only a hash calls repeated
-    import pyarrow as pa
+def test_substring_words_that_hashes_confuse(spark):
+    x, y = thue("a", "b")
+    rows = [(1, f"{x} " + " ".join(f"p{i}" for i in range(12))), (2, f"{y} " + " ".join(f"p{i}" for i in range(12))), (3, f"{y} " + " ".join(f"p{i}" for i in range(12)))]
+    got = sorted(map(tuple, substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_repeats(rows, 13) and [r[2] for r in got] == [0, 0, 13]
 
-    from tidemark.llm import text
 
-    t = pa.table({"doc_id": [1, 2], "text": ["a b c d e", "p q r s t"]})
-    monkeypatch.setattr(text, "rolling", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
-    spans = pa.table({"source": [1], "words": [b"p q r s t"], "docs": [[2]], "rows": [[1]], "starts": [[0]]}, schema=substring.SPANS)
-    assert substring._verify(t, spans, 3).num_rows == 0
-    spans = pa.table({"source": [1], "words": [b"x b c d e y"], "docs": [[2]], "rows": [[1]], "starts": [[4]]}, schema=substring.SPANS)
-    assert substring._verify(t, spans, 3)["start"].to_pylist() == [5, 6]
+def test_substring_coordinates(spark):
+    passage = " ".join(f"m{i}" for i in range(40))
+    rows = [(i, f"head{i} " * (i % 3) + passage + f" tail{i}") for i in range(1, 40)] + [(99, passage[: len(passage) // 2] + " other end")]
+    got = substring.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert {r["doc_id"] for r in got} == set(texts) - {1}
+    for r in got:
+        assert r["source_doc"] == 1 and words(texts[r["doc_id"]])[r["start"] :][: r["n"]] == words(texts[1])[r["source_start"] :][: r["n"]]
 
 
 def edits(p, t):
@@ -472,14 +483,6 @@ def test_components_of_a_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def thue(a, b, n=10):
-    """Two words of 2 ** n letters that collide under every polynomial hash modulo 2 ** 64."""
-    x, y = a, b
-    for _ in range(n):
-        x, y = x + y, y + x
-    return x, y
-
-
 def test_katz_words_that_hashes_confuse(spark):
     x, y = thue("a", "b", 11)
     train, asked = (next(i for i in range(50, 99) if (zlib.crc32(str(i).encode()) % 7 == 2) == held) for held in (False, True))

@@ -62,6 +62,11 @@ class Chunks:
     n: int
     owners: int
 
+    @property
+    def tasks(self) -> int:
+        """Tasks for rows dealt by other keys."""
+        return max(min(self.n, TASKS), int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def home(self, df: DataFrame) -> DataFrame:
         """Rows dealt by chunk."""
         return df.repartition(min(self.n, TASKS), "chunk")

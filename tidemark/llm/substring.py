@@ -1,25 +1,34 @@
 """Substring dedup by De Bruijn compaction.
 
-Words make K-word windows: the edges of a De Bruijn graph, named by 64-bit hashes.
-
-1. Each chunk of documents (about 8 MB, dealt by a hash of doc_id) sorts its distinct
-   edges with the least doc_id that holds each, and sends them, packed, to the owners
-   of ranges of the hash space. Hashes spread evenly, and a chunk sends an edge once
-   however often it occurs, so no passage or group of copies makes a hot key.
-2. An owner merges its range and tells each chunk which of its edges begin in a smaller
-   document, and which that is (the edge's source).
-3. The chunk compacts consecutive edges with one source into a nonbranching path and
-   sends each distinct path's words once to the source's chunk.
-4. There the path is verified against the source's own words: in one piece where it
-   runs on in the source, else window by window. So a hash alone removes nothing.
-5. Verified spans return to their documents, whose covered words go.
-
-The steps are joins (cogroups) by chunk over one shuffle of the texts. Words are runs of
-bytes that aren't white space (0x20, 0x09-0x0D), compared unchanged. Null texts count as
-empty; a document with a null doc_id neither covers nor loses words; rows that share a
-doc_id are judged alike against smaller ids, not against each other. If two different
-windows shared a 64-bit hash, the later could be kept (verification fails), never a
-wrong one removed.
+Words make a graph: K consecutive words are an edge, from the node of its first K - 1 words
+to that of its last K - 1. Documents are dealt into chunks of about 8 MB (see spark.chunked).
+
+1. Edges. A chunk sends its distinct edges, as 48-bit hashes, sorted and packed, to the
+   owners of ranges of the hash space. An owner tells each chunk which of them another chunk
+   has too; with those that two of its own documents have, these are the repeated edges
+   (and, by accident of hashing, a few more: that costs work, not results).
+2. Nodes. For each node at a repeated edge a chunk sends the node's hash and one of its
+   neighbours, the words before and after. A node has one edge in and one out if all its
+   neighbours are alike; else it branches. A document's begin and end count as neighbours,
+   so between branching nodes the same documents run along all edges.
+3. Paths. Runs of repeated edges whose inner nodes don't branch are compacted: a row with
+   a digest of the path's words (BLAKE2b, 128 bits) and its coordinates (document, position).
+   Joins on the digest give each path its source, the least document and position that
+   has it; the source's digest comes from its own words at these coordinates, so they verify
+   the path word for word, up to a collision of digests.
+4. Words covered by paths whose source is a smaller document go.
+
+A chunk sends edges and nodes once however often it has them; paths are joined by digest and
+salt, and the salts' least joined first. So a passage that all documents share is no hot
+key, and no row is kept per pair of its copies. Neighbours are compared by 48-bit
+hashes of the strong hashes of their words, told apart by their bytes: if two neighbours
+of one node agreed (one in 2.8e14 branching nodes), its paths would have different digests
+and a repeat could stay; nothing is removed wrongly.
+
+Words are runs of bytes that aren't white space (0x20, 0x09-0x0D), compared unchanged. Null
+texts count as empty; a document with a null doc_id neither covers nor loses words; rows that
+share a doc_id are judged alike against smaller ids, not against each other. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .spark import chunked
+from .spark import Chunks, chunked
 
 K = 13
 NONE = np.iinfo(np.int64).max
-SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-SPANS = pa.schema([("source", pa.int64()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())), ("rows", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
-FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+SHIFT = np.uint64(16)  # of 64-bit hashes 48 bits are sent
+SALTS = 256
+EDGE, NODE = 0, 1
+SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("keys", pa.binary()), ("near", pa.binary())])
+TOLD = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
+PATHS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -51,125 +64,138 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
 
 
-def _ordered(docs: pa.Table) -> pa.Table:
-    """A chunk's rows by doc_id (null last) and text: what row numbers refer to."""
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+class Graph:
+    """A chunk's rows by doc_id (null last) and text, its words, and the distinct edges of rows that have a doc_id."""
+
+    def __init__(self, docs: pa.Table, k: int):
+        self.k, self.docs = k, docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.ids = self.docs["doc_id"].combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False) if len(docs) else np.zeros(0, np.int64)
+        off, buf = T.layout(T.strings(self.docs["text"]).cast(pa.large_binary()))
+        st, en, self.row = T.words(buf, off)
+        number, words = T.dictionary(buf, st, en)
+        self.hash = T.strong_hashes(words)[number] if len(words) else np.zeros(0, np.uint64)
+        self.first = np.searchsorted(self.row, np.arange(len(off)))
+        n = max(0, len(st) - k + 1)
+        self.at = np.flatnonzero((self.row[:n] == self.row[k - 1 :]) & (self.ids[self.row[:n]] != NONE)) if n else np.zeros(0, np.int64)
+        edges = T.rolling(self.hash, k)[self.at] >> SHIFT
+        self.order = np.argsort(edges, kind="stable")
+        edges = edges[self.order]
+        self.begin = np.flatnonzero(np.append(True, edges[1:] != edges[:-1])) if len(edges) else np.zeros(0, np.int64)
+        self.edges = edges[self.begin]
+
+    def repeated(self, told: np.ndarray) -> np.ndarray:
+        """Which of the words begin a repeated edge: told by owners, or in two rows of the chunk."""
+        out = np.zeros(len(self.row) + 1, bool)
+        if len(self.at):
+            rows = self.row[self.at][self.order]
+            more = np.minimum.reduceat(rows, self.begin) != np.maximum.reduceat(rows, self.begin)
+            out[self.at[self.order]] = np.repeat(more | told, np.diff(np.append(self.begin, len(self.order))))
+        return out
+
+    def nodes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes at repeated edges: word positions, hashes, and hashes of both neighbours."""
+        spot = repeated.copy()
+        spot[1:] |= repeated[:-1]
+        at = np.flatnonzero(spot)  # edges lie within rows, so their end nodes do
+        row, m = self.row[at] if len(at) else at, len(self.row)
+        before, after = at - 1, at + self.k - 1
+        into = np.where((before >= 0) & (self.row[np.maximum(before, 0)] == row), self.hash[np.maximum(before, 0)], np.uint64(1)) if len(at) else np.zeros(0, np.uint64)
+        last = np.minimum(after, m - 1)
+        out = np.where((after < m) & (self.row[last] == row), self.hash[last], np.uint64(2)) if len(at) else np.zeros(0, np.uint64)
+        return at, T.rolling(self.hash, self.k - 1)[at], T.mix(into * T._ROLL + T.mix(out)) >> SHIFT
+
+
+def _distinct(h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct nodes in order, their neighbours' hash, and which of them branch."""
+    o = np.argsort(h, kind="stable")
+    s, x = h[o], near[o]
+    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    if not len(s):
+        return s, x, np.zeros(0, bool)
+    least, most = np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
+    return s[at], least, least != most
+
+
+def _blocks(key, keys: np.ndarray, shift: np.uint64, owners: int, near=lambda i, j: b"") -> pa.Table:
+    """Ascending keys by owner; shift makes them fill 64 bits."""
+    cut = T.ranges(keys << shift, owners)
+    T.release()
+    return _table(SENT, [(p, key[0].as_py(), T.pack_sorted(keys[i:j]), near(i, j)) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
 
 
-def _ids(docs: pa.Table) -> np.ndarray:
-    return docs["doc_id"].combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False) if len(docs) else np.zeros(0, np.int64)
+def _send_edges(key, docs: pa.Table, owners: int, k: int) -> pa.Table:
+    return _blocks(key, Graph(docs, k).edges, SHIFT, owners)
 
 
-def windows(docs: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and first word of every window of the ordered rows that have a doc_id."""
-    ids, out = _ids(docs), []
-    for lo, buf, off in T.pieces(docs["text"]):
-        st, en, row = T.words(buf, off)
-        h = T.rolling(T.span_hashes(buf, st, en), k)
-        a = row[: len(h)]
-        begin = np.searchsorted(row, np.arange(len(off)))
-        at = np.flatnonzero((a == row[k - 1 :]) & (ids[lo + a] != NONE)) if len(h) else np.zeros(0, np.int64)
-        out.append((h[at], (a[at] + lo).astype(np.int32), (at - begin[a[at]]).astype(np.int32)))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))  # type: ignore[return-value]
+def _told(key, sent: pa.Table, kind: int, keys: list[np.ndarray], flag: np.ndarray) -> pa.Table:
+    cut = np.cumsum([len(x) for x in keys])[:-1]
+    T.release()
+    return _table(TOLD, [(key[0].as_py(), s, kind, T.pack(np.packbits(x))) for s, x in zip(sent["src"].to_pylist(), np.split(flag, cut))])
 
 
-def _first(h: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order, where each distinct hash begins in it, and the least value of each."""
+def _tell_edges(key, sent: pa.Table) -> pa.Table:
+    """For each chunk's edges whether another chunk has them."""
+    keys = [T.unpack_sorted(x) for x in sent["keys"].to_pylist()]
+    h = np.concatenate(keys)
     o = np.argsort(h, kind="stable")
     s = h[o]
-    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    return o, at, np.minimum.reduceat(value[o], at) if len(s) else np.zeros(0, value.dtype)
+    same, flag = s[1:] == s[:-1], np.empty(len(h), bool)
+    flag[o] = np.append(False, same) | np.append(same, False)
+    return _told(key, sent, EDGE, keys, flag)
 
 
-def _send(key, docs: pa.Table, parts: int, k: int) -> pa.Table:
-    docs = _ordered(docs)
-    h, row, _ = windows(docs, k)
-    o, at, least = _first(h, _ids(docs)[row])
-    keys = h[o][at]
-    cut = T.ranges(keys, parts)
-    T.release()
-    return _table(SENT, [(p, key[0].as_py(), T.pack_sorted(keys[i:j]), T.pack(least[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+def _bits(told: pa.Table, kind: int, keys: np.ndarray, shift: np.uint64, owners: int) -> np.ndarray:
+    """A flag for each of the ascending keys, from what their owners told."""
+    mine = told.filter(pa.compute.equal(told["kind"], kind)).sort_by("part")
+    sizes = np.diff(T.ranges(keys << shift, owners))
+    out = [np.unpackbits(T.unpack(x, np.uint8), count=int(n)).astype(bool) for x, n in zip(mine["bits"].to_pylist(), sizes[sizes > 0])]
+    return np.concatenate([np.zeros(0, bool), *out])
 
 
-def _answer(key, sent: pa.Table) -> pa.Table:
-    sent = sent.sort_by("src")
-    keys = [T.unpack_sorted(x) for x in sent["keys"].to_pylist()]
-    docs = [T.unpack(x, np.int64) for x in sent["docs"].to_pylist()]
-    h, own = np.concatenate(keys), np.concatenate(docs)
-    o, at, least = _first(h, own)
-    source = np.empty_like(own)
-    source[o] = np.repeat(least, np.diff(np.append(at, len(h))))
-    less, rows, begin = source < own, [], 0
-    for src, x in zip(sent["src"].to_pylist(), keys):
-        s = slice(begin, begin := begin + len(x))
-        rows.append((key[0].as_py(), src, T.pack(np.packbits(less[s])), T.pack(source[s][less[s]])))
-    T.release()
-    return _table(SENT, rows)
-
-
-def _paths(docs: pa.Table, answers: pa.Table, k: int) -> pa.Table:
-    docs, answers = _ordered(docs), answers.sort_by("part")
-    ids = _ids(docs)
-    h, row, start = windows(docs, k)
-    o, at, least = _first(h, ids[row])
-    begin = 0
-    bits, source = [], []
-    keys = h[o][at]
-    # the answers follow the keys: a part has those of its range
-    for flags, got in zip(answers["keys"].to_pylist(), answers["docs"].to_pylist()):
-        bits.append(T.unpack(flags, np.uint8))
-        source.append(T.unpack(got, np.int64))
-    cut = T.ranges(keys, int(answers["parts"][0].as_py())) if len(answers) else np.zeros(1, np.int64)
-    sizes = [j - i for i, j in zip(cut, cut[1:]) if j > i]
-    for n, b, s in zip(sizes, bits, source):
-        less = np.unpackbits(b, count=int(n)).astype(bool)
-        least[begin : begin + n][less] = s
-        begin += n
-    T.release()
-    owner = np.empty(len(h), np.int64)
-    owner[o] = np.repeat(least, np.diff(np.append(at, len(h))))
-    hit = np.flatnonzero(owner < ids[row])
-    if not len(hit):
-        return _table(SPANS, [])
-    r, s, w = row[hit], start[hit], owner[hit]
-    new = np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (w[1:] != w[:-1]))
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(hit)))
-    texts, found, now, ws = T.strings(docs["text"]), {}, -1, []
-    for a, n in zip(first.tolist(), size.tolist()):
-        if r[a] != now:
-            now, ws = int(r[a]), texts[int(r[a])].as_py().encode().split()
-        span = b" ".join(ws[s[a] : s[a] + n + k - 1])
-        found.setdefault((int(w[a]), span), []).append((int(ids[now]), now, int(s[a])))
-    return _table(SPANS, [(src, span, *map(list, zip(*at))) for (src, span), at in found.items()])
-
-
-def _verify(docs: pa.Table, spans: pa.Table, k: int) -> pa.Table:
-    """Spans whose every window stands in the source, as parts of them that do."""
-    if not len(spans):
-        return _table(FOUND, [])
-    wanted = set(spans["source"].to_pylist())
-    lines: dict[int, list[bytes]] = {}
-    for doc, t in zip(docs["doc_id"].to_pylist(), T.strings(docs["text"])):
-        if doc in wanted:
-            lines.setdefault(doc, []).append(b" " + b" ".join(t.as_py().encode().split()) + b" ")
-    out = []
-    for src, span, ids, rows, starts in zip(*(spans[c].to_pylist() for c in ("source", "words", "docs", "rows", "starts"))):
-        there = lines.get(src, [])
-        ws = span.split(b" ")
-        if any(b" " + span + b" " in x for x in there):
-            good = [(0, len(ws))]
-        else:
-            good = [(i, k) for i in range(len(ws) - k + 1) if any(b" " + b" ".join(ws[i : i + k]) + b" " in x for x in there)]
-        out += [(d, r, s + i, n) for d, r, s in zip(ids, rows, starts) for i, n in good]
-    return _table(FOUND, out)
+def _send_nodes(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table:
+    g = Graph(docs, k)
+    _, h, near = g.nodes(g.repeated(_bits(told, EDGE, g.edges, SHIFT, owners)))
+    h, near, branch = _distinct(h, near)
+    # a node that branches here needs no neighbours: 0 is told apart from all others
+    near = np.where(branch, np.uint64(0), np.maximum(near, np.uint64(1)))
+    return _blocks(key, h, np.uint64(0), owners, lambda i, j: T.pack(near[i:j]))
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+def _tell_nodes(key, sent: pa.Table) -> pa.Table:
+    """For each chunk's nodes whether they branch."""
+    keys = [T.unpack_sorted(x) for x in sent["keys"].to_pylist()]
+    h, near = np.concatenate(keys), np.concatenate([T.unpack(x, np.uint64) for x in sent["near"].to_pylist()])
+    s, least, branch = _distinct(h, near)
+    return _told(key, sent, NODE, keys, (branch | (least == 0))[np.searchsorted(s, h)])
+
+
+def _paths(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table:
+    """Every path of every row: runs of repeated edges whose inner nodes don't branch."""
+    g = Graph(docs, k)
+    repeated = g.repeated(_bits(told, EDGE, g.edges, SHIFT, owners))
+    at, h, _ = g.nodes(repeated)
+    keys, which = np.unique(h, return_inverse=True)
+    ends = np.ones(len(g.row) + 1, bool)
+    ends[at] = _bits(told, NODE, keys, np.uint64(0), owners)[which] if len(at) else True
+    hit = np.flatnonzero(repeated)
+    if not len(hit):
+        return _table(PATHS, [])
+    new = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (g.row[hit[1:]] != g.row[hit[:-1]]) | ends[hit[1:]]))
+    n = np.diff(np.append(new, len(hit))) + k - 1
+    row = g.row[hit[new]]
+    start = hit[new] - g.first[row]
+    texts, now, ws, digests = T.strings(g.docs["text"]), -1, [], []
+    for r, a, m in zip(row.tolist(), start.tolist(), n.tolist()):
+        if r != now:
+            now, ws = r, texts[r].as_py().encode().split()
+        digests.append(hashlib.blake2b(b" ".join(ws[a : a + m]), digest_size=16).digest())
+    T.release()
+    cols = (digests, g.ids[row], np.full(len(new), key[0].as_py()), row, start, n)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, PATHS)], schema=PATHS)
 
 
 def _remove(docs: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
-    docs, spans = _ordered(docs), spans.sort_by("row")
+    docs, spans = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]), spans.sort_by("row")
     row, start, n = (spans[c].to_numpy() for c in ("row", "start", "n"))
     cut = np.searchsorted(row, np.arange(len(docs) + 1))
     out = []
@@ -188,17 +214,30 @@ def _remove(docs: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
     return _table(RESULT, out)
 
 
+def _sourced(c: Chunks, k: int) -> DataFrame:
+    """Paths whose source is a smaller document: PATHS' columns and `source` (doc_id, chunk, row, start)."""
+    n = c.owners
+    edges = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda key, t: _send_edges(key, t, n, k), _ddl(SENT)))
+    told = edges.groupBy("part").applyInArrow(lambda key, t: _tell_edges(key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk")
+    nodes = c.owned(c.with_docs(c.home(told), lambda key, a, b: _send_nodes(key, a, b, n, k), _ddl(SENT)))
+    more = nodes.groupBy("part").applyInArrow(lambda key, t: _tell_nodes(key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk")
+    paths = c.with_docs(c.home(told.unionByName(more)), lambda key, a, b: _paths(key, a, b, n, k), _ddl(PATHS))
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64("chunk", "row", "start"), F.lit(SALTS))).repartition(c.tasks, "digest", "salt")
+    some = paths.groupBy("digest", "salt").agg(F.min(F.struct("doc_id", "chunk", "row", "start")).alias("source"))
+    least = some.groupBy("digest").agg(F.min("source").alias("source"))
+    back = some.select("digest", "salt").join(least, "digest")
+    return paths.join(back, ["digest", "salt"]).where(F.col("source.doc_id") < F.col("doc_id"))
+
+
+def find_repeats(docs: DataFrame, k: int = K) -> DataFrame:
+    """Paths of words that a smaller document has too: doc_id, start, n (words), source_doc, source_start."""
+    found = _sourced(chunked(docs), k)
+    return found.select("doc_id", "start", "n", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
+
+
 def remove_repeats(docs: DataFrame, k: int = K, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and with texts the kept words as `kept`."""
-    base, n = chunked(docs)
-    sent = base.groupBy("chunk").applyInArrow(lambda key, t: _send(key, t, n, k), _ddl(SENT))
-    answers = sent.repartition(n, "part").groupBy("part").applyInArrow(lambda key, t: _answer(key, t), _ddl(SENT))
-    answers = answers.withColumn("parts", F.lit(n)).withColumnRenamed("src", "chunk").repartition(n, "chunk")
-    join = lambda right, f, schema: base.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(f, _ddl(schema))
-    home = lambda col: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    spans = join(answers, lambda a, b: _paths(a, b, k), SPANS)
-    spans = spans.withColumn("chunk", home("source")).repartition(n, "chunk")
-    found = join(spans, lambda a, b: _verify(a, b, k), FOUND)
-    found = found.withColumn("chunk", home("doc_id")).repartition(n, "chunk")
-    out = join(found, lambda a, b: _remove(a, b, texts), RESULT)
+    c = chunked(docs)
+    spans = c.home(_sourced(c, k).select("chunk", "row", "start", "n"))
+    out = c.with_docs(spans, lambda key, a, b: _remove(a, b, texts), _ddl(RESULT))
     return out if texts else out.drop("kept")
