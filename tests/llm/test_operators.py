@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,12 +167,43 @@ def test_decontaminate(spark, odd, none):
     assert sorted(map(str, (r["doc_id"] for r in hit.collect()))) == sorted(map(str, [1, 5, 5, 6, None, -7]))
     blocks = decontam.find_contamination(odd, bench, block=10)
     assert sorted(map(str, blocks.collect())) == sorted(map(str, hit.collect()))
-    assert sorted(map(str, (r["doc_id"] for r in decontam.drop_contaminated(odd, bench).collect()))) == sorted(map(str, [2, 3, 4, None, 8, 9, 10, 11, 12]))
+    clean = decontam.drop_contaminated(odd, bench, block=10)
+    assert clean.columns == odd.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 8, 9, 10, 11, 12]  # the null id holds a passage
     again = bench.unionByName(bench).unionByName(bench.where("item_id = 5"))  # repeated passages count once
     assert sorted(map(str, decontam.find_contamination(odd, again, block=10).collect())) == sorted(map(str, hit.collect()))
     assert decontam.find_contamination(none, bench).count() == 0 and decontam.find_contamination(odd, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_passages(spark):
+    bench = spark.createDataFrame([(1, "7 x 6 = 42"), (2, "ab"), (3, "É."), (4, "  Ab ")], "item_id long, text string")
+    rows = [(1, "so 7  X 6\n= 42, he said"), (2, "7 x 6 = 421"), (3, "cab ab, abc _ab ab"), (4, "été É."), (5, "7 x 6 = 42"), (6, "17 x 6 = 42"), (7, "AB")]
+    got = decontam.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["distance"]) for r in got) == [
+        (1, 1, 3, 14, 0), (3, 2, 4, 6, 0), (3, 2, 16, 18, 0), (3, 4, 4, 6, 0), (3, 4, 16, 18, 0), (4, 3, 4, 6, 0), (5, 1, 0, 10, 0), (7, 2, 0, 2, 0), (7, 4, 0, 2, 0)]
+
+
+def test_decontaminate_repeated_characters(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    item = "=" * 60 + " and then nothing more was heard of it " + "ab" * 30
+    texts = ["=" * 500, item + "=" * 300 + item, "x " + item[:50] + "?" + item[51:] + " y", "ab" * 400, "".join(rng.choice(list("=ab "), 900)), "=" * 200 + item[3:]]
+    index = decontam.Index([(1, item), (2, "=" * 90), (3, "ab" * 45)])
+    found = [list(decontam._matches(index, pa.array(texts)))]
+    for limit, many in ((50, 64), (50, 0), (1 << 21, 0)):  # convolutions and slices, exact matches first
+        monkeypatch.setattr(decontam, "SLICE", limit)
+        monkeypatch.setattr(decontam, "MANY", many)
+        found.append(list(decontam._matches(index, pa.array(texts))))
+    assert all([x[:5] for x in f] == [x[:5] for x in found[0]] for f in found) and len(found[0]) > 10
+    for r, i, s, e, d, _ in found[0]:
+        assert edits(index.text[i].tobytes().decode(), re.sub(SPLIT, " ", texts[r][s:e])) == d <= index.e[i]
+    monkeypatch.undo()
+    began = time.perf_counter()
+    index = decontam.Index([(1, "=" * 800), (2, "=" * 800 + " some other words end this passage")])
+    got = list(decontam._matches(index, pa.array(["=" * 1_000_000])))
+    assert len(got) >= 1250 and {x[1] for x in got} >= {0} and time.perf_counter() - began < 120
+
+
 def test_decontaminate_runs():
     m = np.array([50, 60, 70, decontam.CELLS, 2 * decontam.CELLS])
     got = list(decontam._runs(np.arange(5), m, m // 20))
@@ -265,6 +297,10 @@ def test_pii(spark, sf_dir, corpus, odd, none):
             line = [f"{k}:{a}:{b}" for k, a, b in want]
             assert r["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest()
             assert set(line) <= set(r["spans"].split(","))
+    for t in ("9" * 10**6, "x" * 500_000 + "@" + "y" * 500_000, "x" * 10**6, "1." * 500_000, "+1" + "(" * 10**6, "a." * 500_000 + "@b.c", "a1b2c3d4" * 125_000):
+        began = time.perf_counter()
+        pii.spans(t)
+        assert time.perf_counter() - began < 10
     kinds = {x[2] for t in PRIVATE for x in pii.spans(t)}
     assert kinds == set(pii.KINDS)
     assert pii.redact(PRIVATE[0]).startswith("[email] ") and "6789" not in pii.redact(PRIVATE[5]) and pii.redact("") == ""

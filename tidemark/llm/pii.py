@@ -10,13 +10,17 @@ one starts from its kind's prior, gains CONTEXT if such a word stands within REA
 characters before it, and stays at MINIMUM or more and if it overlaps no base span.
 
 Offsets are code points, end exclusive. A null text counts as empty: no spans.
-Texts are scanned whole; every pattern is anchored at an `@`, `+` or digit, or
-runs on one word, so long texts take time in proportion. Extra columns are ignored.
+Texts are scanned whole, in time proportional to their length whatever they hold:
+emails are sought from each `@` outwards, addresses among whole chains of digits and
+dots, and the other patterns consume a run or look at a bounded stretch of it.
+Repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -28,16 +32,17 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "tel", "secret")
 CONTEXT, MINIMUM, REACH = 0.5, 0.75, 40
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Base kinds, in the forms that the searches below need.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 TEL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,5}\)?(?:[\x20.-]?[0-9]{2,5}){2,4}(?![0-9-])")
 SECRET = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
-WORD_WITH_AT = re.compile(r"[^\s@]*@\S*")
 HINTS = {
     "iban": re.compile(r"(?i)iban|account|konto|compte|cuenta"),
     "ssn": re.compile(r"(?i)ssn|social security|tax id"),
@@ -64,14 +69,36 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str):
+    """Spans of leftmost matches: the local part runs up to an @, a domain with a dot follows."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        before = text[end:at]
+        begin = end + len(before.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if begin < at else None
+        if m:
+            yield begin, m.end()
+        end = m.end() if m else at + 1
+        at = text.find("@", end)
+
+
+def addresses(text: str):
+    """Spans of four numbers with dots between: the first four of each chain of digits and dots, the next four, and so on."""
+    for chain in NUMBERS.finditer(text):
+        if chain[0].count(".") >= 3:
+            parts, at = chain[0].split("."), chain.start()
+            for k in range(0, len(parts) - 3, 4):
+                four = parts[k : k + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in four):
+                    yield at, end
+                at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, float]]:
-    found = []
-    if "@" in text:
-        # no match holds white space: each word with an @ can be searched alone
-        for w in WORD_WITH_AT.finditer(text):
-            found += [(m.start(), m.end(), "email", 1.0) for m in EMAIL.finditer(text, w.start(), w.end())]
+    found = [(a, b, "email", 1.0) for a, b in emails(text)]
     if DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip", 1.0) for m in IP.finditer(text) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split("."))]
+        found += [(a, b, "ip", 1.0) for a, b in addresses(text)]
         found += [(m.start(), m.end(), "card", 1.0) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [(m.start(), m.end(), "phone", 1.0) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -81,7 +108,8 @@ def base_spans(text: str) -> list[tuple[int, int, str, float]]:
 def added_spans(text: str, base: list) -> list[tuple[int, int, str, float]]:
     if not DIGIT.search(text):
         return []
-    found = []
+    found, base = [], sorted(base)
+    starts, ends = [x[0] for x in base], list(itertools.accumulate((x[1] for x in base), max))
     for kind, pattern, ok in (
         ("iban", IBAN, lambda s: mod97(s)),
         ("ssn", SSN, lambda s: s[:3] not in ("000", "666") and s[4:6] != "00" and s[7:] != "0000"),
@@ -91,7 +119,8 @@ def added_spans(text: str, base: list) -> list[tuple[int, int, str, float]]:
         for m in pattern.finditer(text):
             if ok(m[0]):
                 score = PRIOR[kind] + CONTEXT * bool(HINTS[kind].search(text, max(0, m.start() - REACH), m.start()))
-                if score >= MINIMUM and not any(a < m.end() and m.start() < b for a, b, *_ in base):
+                before = bisect.bisect_left(starts, m.end())  # base spans that begin before this one ends
+                if score >= MINIMUM and not (before and ends[before - 1] > m.start()):
                     found.append((m.start(), m.end(), kind, min(1.0, score)))
     return found
 
