@@ -28,9 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage; known by their text, as ids may repeat or be null."""
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("doc_id"), "text")
-    return decontam.drop_contaminated(rows, table(spark, sf_dir, "benchmark")).select("row.*")
+    """Drops documents that hold a benchmark passage; each row is judged by its text."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
