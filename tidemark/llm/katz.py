@@ -151,7 +151,6 @@ def _send_words(key, docs: pa.Table, owners: int) -> pa.Table:
     order, cut = t.dealt(owners)
     counts = np.bincount(t.tok[t.learn], minlength=len(t.words))
     out = [(p, key[0].as_py(), *T.pack_words(t.words.take(pa.array(order[i:j]))), T.pack(counts[order[i:j]]), b"") for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-    T.release()
     return _table(SENT, out)
 
 
@@ -168,14 +167,12 @@ def _tell_words(key, sent: pa.Table, owners: int) -> pa.Table:
     src, numbers, total = _merge_words(sent)
     part = key[0].as_py()
     out = [(part, s, WORD, T.pack(x.astype(np.int64) * owners + part), T.pack(total[x])) for s, x in zip(src, numbers)]
-    T.release()
     return _table(TOLD, out)
 
 
 def _count_words(key, sent: pa.Table) -> pa.Table:
     total = _merge_words(sent)[2]
     some = total[total > 0]
-    T.release()
     return _table(COUNTED, [([int(some.sum()), len(some), *np.bincount(some[some <= TOP], minlength=TOP + 1)[1:].tolist()],)])
 
 
@@ -194,7 +191,6 @@ def _send_pairs(key, docs: pa.Table, told: pa.Table, owners: int) -> pa.Table:
     p = Pairs(t, *t.told(told, owners), int(stats[0]), starts, owners)
     counts = np.bincount(p.which[t.learn], minlength=len(p.h))
     out = [(k, key[0].as_py(), T.pack(np.diff(p.h[i:j], prepend=0)), T.pack(p.w[i:j]), T.pack(counts[i:j]), T.pack(p.of[i:j])) for k, (i, j) in enumerate(zip(p.cut, p.cut[1:])) if j > i]
-    T.release()
     return _table(SENT, out)
 
 
@@ -218,7 +214,6 @@ def _tell_pairs(key, sent: pa.Table) -> pa.Table:
     whole = np.empty(len(o), np.int64)
     whole[o] = np.repeat(total, np.diff(np.append(at, len(o))))
     out = [(key[0].as_py(), s, PAIR, T.pack(x), b"") for s, x in zip(sent["src"].to_pylist(), np.split(whole, np.cumsum(sizes)[:-1]))]
-    T.release()
     return _table(TOLD, out)
 
 
@@ -233,7 +228,6 @@ def _masses(key, sent: pa.Table) -> pa.Table:
     kinds = [np.add.reduceat((r == k).astype(np.int64), at) for k in range(1, TOP + 1)]
     kinds += [np.add.reduceat(x, at) for x in ((r > TOP).astype(np.int64), np.where(r > TOP, r, 0))]
     lower = np.add.reduceat(discounted(of, unigrams(stats)[0]) / max(1, stats[0]), at)
-    T.release()
     return pa.table([pa.array(x) for x in (h[at], *kinds, lower)], schema=MASS)
 
 
@@ -258,7 +252,6 @@ def _tell_alphas(key, sent: pa.Table, mass: pa.Table, owners: int) -> pa.Table:
         logs[h[h != START] // owners] = got[h != START]
         first = got[h == START].tolist()
     out = [(part, s, ALPHA, T.pack(logs[x]), np.array(first).tobytes()) for s, x in zip(src, numbers)]
-    T.release()
     return _table(TOLD, out)
 
 
@@ -288,7 +281,6 @@ def _score(key, docs: pa.Table, told: pa.Table, owners: int) -> pa.Table:
         score = np.where(r > 0, np.log10(discounted(r, d2) / np.maximum(before, 1)), np.log10(p1) + np.where(before > 0, weight, 0))
         base = np.log10((c + 1) / (n + (v + 1)))
     base_score, score, known = (np.bincount(t.row, x, t.rows) for x in (base, score, c > 0))
-    T.release()
     cols = (t.ids, t.held, np.bincount(t.row, minlength=t.rows), known.astype(np.int64), np.full(t.rows, n), base_score, score)
     return pa.table([pa.array(x, f.type) for x, f in zip(cols, SCORE)], schema=SCORE)
 
@@ -298,17 +290,17 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(7, 2).alias("held_out"))
     c = chunked(docs, "held_out")
     n = c.owners
-    words = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda k, t: _send_words(k, t, n), _ddl(SENT)))
-    counted = words.groupBy("part").applyInArrow(lambda k, t: _count_words(k, t), _ddl(COUNTED))
+    words = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda k, t: T.freed(_send_words, k, t, n), _ddl(SENT)))
+    counted = words.groupBy("part").applyInArrow(lambda k, t: T.freed(_count_words, k, t), _ddl(COUNTED))
     starts = c.docs.where("not held_out").agg(F.count("*").alias("n")).scalar()
     total = lambda k: F.coalesce(F.sum(F.col("numbers")[k]), F.lit(0))
     stats = counted.agg(F.array(*[total(k) for k in range(2 + TOP)]).alias("x")).select(F.array_append("x", starts).alias("x")).scalar()
-    told = words.groupBy("part").applyInArrow(lambda k, t: _tell_words(k, t, n), _ddl(TOLD)).withColumnRenamed("src", "chunk")
-    pairs = c.owned(c.with_docs(c.home(told.withColumn("stats", stats)), lambda k, a, b: _send_pairs(k, a, b, n), _ddl(SENT)))
-    mass = pairs.withColumn("stats", stats).groupBy("part").applyInArrow(lambda k, t: _masses(k, t), _ddl(MASS)).groupBy("h").agg(*[F.sum(x).alias(x) for x in MASS.names[1:]])
+    told = words.groupBy("part").applyInArrow(lambda k, t: T.freed(_tell_words, k, t, n), _ddl(TOLD)).withColumnRenamed("src", "chunk")
+    pairs = c.owned(c.with_docs(c.home(told.withColumn("stats", stats)), lambda k, a, b: T.freed(_send_pairs, k, a, b, n), _ddl(SENT)))
+    mass = pairs.withColumn("stats", stats).groupBy("part").applyInArrow(lambda k, t: T.freed(_masses, k, t), _ddl(MASS)).groupBy("h").agg(*[F.sum(x).alias(x) for x in MASS.names[1:]])
     classes = mass.agg(F.array(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)) for r in range(1, TOP + 1)]).alias("x")).scalar()
     dealt = mass.withColumns({"part": F.pmod("h", F.lit(n)).cast("int"), "pairs": classes})
-    alphas = words.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda k, a, b: _tell_alphas(k, a, b, n), _ddl(TOLD))
-    more = pairs.groupBy("part").applyInArrow(lambda k, t: _tell_pairs(k, t), _ddl(TOLD)).unionByName(alphas).withColumnRenamed("src", "chunk")
+    alphas = words.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda k, a, b: T.freed(_tell_alphas, k, a, b, n), _ddl(TOLD))
+    more = pairs.groupBy("part").applyInArrow(lambda k, t: T.freed(_tell_pairs, k, t), _ddl(TOLD)).unionByName(alphas).withColumnRenamed("src", "chunk")
     every = told.unionByName(more).withColumns({"stats": stats, "pairs": classes})
-    return c.with_docs(c.home(every), lambda k, a, b: _score(k, a, b, n), _ddl(SCORE))
+    return c.with_docs(c.home(every), lambda k, a, b: T.freed(_score, k, a, b, n), _ddl(SCORE))

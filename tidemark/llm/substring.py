@@ -11,16 +11,16 @@ to that of its last K - 1. Documents are dealt into chunks of about 8 MB (see sp
    neighbours, the words before and after. A node has one edge in and one out if all its
    neighbours are alike; else it branches. A document's begin and end count as neighbours,
    so between branching nodes the same documents run along all edges.
-3. Paths. Runs of repeated edges whose inner nodes don't branch are compacted: a row with
-   a digest of the path's words (BLAKE2b, 128 bits) and its coordinates (document, position).
-   Joins on the digest give each path its source, the least document and position that
-   has it; the source's digest comes from its own words at these coordinates, so they verify
-   the path word for word, up to a collision of digests.
+3. Paths. Runs of repeated edges whose inner nodes don't branch are compacted: a chunk sends
+   each of its distinct paths as a digest of its words (BLAKE2b, 128 bits) and coordinates
+   (least document, position). The digest's least coordinates of all chunks are the path's
+   source; its digest comes from its own words there, so equal digests verify the path
+   word for word. Chunks that have the path in a greater document are told the source.
 4. Words covered by paths whose source is a smaller document go.
 
-A chunk sends edges and nodes once however often it has them; paths are joined by digest and
-salt, and the salts' least joined first. So a passage that all documents share is no hot
-key, and no row is kept per pair of its copies. Neighbours are compared by 48-bit
+A chunk sends edges, nodes and paths once however often it has them, and keeps the places
+where they stand to itself. So a passage that all documents share is no hot key: it is a
+row per chunk, and no row per copy or pair of copies. Neighbours are compared by 48-bit
 hashes of the strong hashes of their words, told apart by their bytes: if two neighbours
 of one node agreed (one in 2.8e14 branching nodes), its paths would have different digests
 and a repeat could stay; nothing is removed wrongly.
@@ -38,7 +38,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -47,11 +47,11 @@ from .spark import Chunks, chunked
 K = 13
 NONE = np.iinfo(np.int64).max
 SHIFT = np.uint64(16)  # of 64-bit hashes 48 bits are sent
-SALTS = 256
-EDGE, NODE = 0, 1
+EDGE, NODE, PATH = 0, 1, 2
 SENT = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("keys", pa.binary()), ("near", pa.binary())])
 TOLD = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
-PATHS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+PATHS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("last", pa.int64()), ("chunk", pa.int32())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_start", pa.int32())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
@@ -75,7 +75,8 @@ class Graph:
         number, words = T.dictionary(buf, st, en)
         self.hash = T.strong_hashes(words)[number] if len(words) else np.zeros(0, np.uint64)
         self.first = np.searchsorted(self.row, np.arange(len(off)))
-        n = max(0, len(st) - k + 1)
+        del st, en, number, words, buf
+        n = max(0, len(self.row) - k + 1)
         self.at = np.flatnonzero((self.row[:n] == self.row[k - 1 :]) & (self.ids[self.row[:n]] != NONE)) if n else np.zeros(0, np.int64)
         edges = T.rolling(self.hash, k)[self.at] >> SHIFT
         self.order = np.argsort(edges, kind="stable")
@@ -119,7 +120,6 @@ def _distinct(h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _blocks(key, keys: np.ndarray, shift: np.uint64, owners: int, near=lambda i, j: b"") -> pa.Table:
     """Ascending keys by owner; shift makes them fill 64 bits."""
     cut = T.ranges(keys << shift, owners)
-    T.release()
     return _table(SENT, [(p, key[0].as_py(), T.pack_sorted(keys[i:j]), near(i, j)) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
 
 
@@ -129,7 +129,6 @@ def _send_edges(key, docs: pa.Table, owners: int, k: int) -> pa.Table:
 
 def _told(key, sent: pa.Table, kind: int, keys: list[np.ndarray], flag: np.ndarray) -> pa.Table:
     cut = np.cumsum([len(x) for x in keys])[:-1]
-    T.release()
     return _table(TOLD, [(key[0].as_py(), s, kind, T.pack(np.packbits(x))) for s, x in zip(sent["src"].to_pylist(), np.split(flag, cut))])
 
 
@@ -169,9 +168,8 @@ def _tell_nodes(key, sent: pa.Table) -> pa.Table:
     return _told(key, sent, NODE, keys, (branch | (least == 0))[np.searchsorted(s, h)])
 
 
-def _paths(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table:
-    """Every path of every row: runs of repeated edges whose inner nodes don't branch."""
-    g = Graph(docs, k)
+def _paths(g: Graph, told: pa.Table, owners: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, rows, first words and lengths of every path of every row: runs of repeated edges whose inner nodes don't branch."""
     repeated = g.repeated(_bits(told, EDGE, g.edges, SHIFT, owners))
     at, h, _ = g.nodes(repeated)
     keys, which = np.unique(h, return_inverse=True)
@@ -179,9 +177,9 @@ def _paths(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table
     ends[at] = _bits(told, NODE, keys, np.uint64(0), owners)[which] if len(at) else True
     hit = np.flatnonzero(repeated)
     if not len(hit):
-        return _table(PATHS, [])
+        return [], hit, hit, hit
     new = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (g.row[hit[1:]] != g.row[hit[:-1]]) | ends[hit[1:]]))
-    n = np.diff(np.append(new, len(hit))) + k - 1
+    n = np.diff(np.append(new, len(hit))) + g.k - 1
     row = g.row[hit[new]]
     start = hit[new] - g.first[row]
     texts, now, ws, digests = T.strings(g.docs["text"]), -1, [], []
@@ -189,13 +187,41 @@ def _paths(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table
         if r != now:
             now, ws = r, texts[r].as_py().encode().split()
         digests.append(hashlib.blake2b(b" ".join(ws[a : a + m]), digest_size=16).digest())
-    T.release()
-    cols = (digests, g.ids[row], np.full(len(new), key[0].as_py()), row, start, n)
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, PATHS)], schema=PATHS)
+    return digests, row, start, n
+
+
+def _send_paths(key, docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table:
+    """The chunk's distinct paths: least document and position, and the greatest document."""
+    g = Graph(docs, k)
+    digests, row, start, _ = _paths(g, told, owners)
+    found: dict[bytes, tuple] = {}
+    last: dict[bytes, int] = {}
+    for d, i, s in zip(digests, g.ids[row].tolist(), start.tolist()):  # rows ascend by doc_id
+        found.setdefault(d, (i, s))
+        last[d] = i
+    return _table(PATHS, [(d, *at, last[d], key[0].as_py()) for d, at in found.items()])
+
+
+def _find(g: Graph, told: pa.Table, owners: int) -> pa.Table:
+    """row, start and n of paths whose source is a smaller document, and the source."""
+    digests, row, start, n = _paths(g, told, owners)
+    mine = told.filter(pa.compute.equal(told["kind"], PATH))
+    source = dict(zip(mine["bits"].to_pylist(), zip(mine["doc"].to_pylist(), mine["start"].to_pylist())))
+    doc, begin = (np.array(x, np.int64) for x in zip(*[source.get(d, (NONE, 0)) for d in digests])) if digests else (row, row)
+    hit = doc < g.ids[row]
+    return pa.table({"row": row[hit], "start": start[hit], "n": n[hit], "source_doc": doc[hit], "source_start": begin[hit]})
+
+
+def _spans(docs: pa.Table, told: pa.Table, owners: int, k: int) -> pa.Table:
+    g = Graph(docs, k)
+    got = _find(g, told, owners)
+    return pa.table([pa.array(g.ids[got["row"].to_numpy()]), *got.columns[1:]], FOUND.names).cast(FOUND)
 
 
-def _remove(docs: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
-    docs, spans = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]), spans.sort_by("row")
+def _remove(docs: pa.Table, told: pa.Table, owners: int, k: int, texts: bool) -> pa.Table:
+    g = Graph(docs, k)
+    docs, spans = g.docs, _find(g, told, owners)
+    del g
     row, start, n = (spans[c].to_numpy() for c in ("row", "start", "n"))
     cut = np.searchsorted(row, np.arange(len(docs) + 1))
     out = []
@@ -214,30 +240,30 @@ def _remove(docs: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
     return _table(RESULT, out)
 
 
-def _sourced(c: Chunks, k: int) -> DataFrame:
-    """Paths whose source is a smaller document: PATHS' columns and `source` (doc_id, chunk, row, start)."""
+def _told_paths(c: Chunks, k: int) -> DataFrame:
+    """All that chunks need to know: which edges are repeated, which nodes branch, and the sources of paths."""
     n = c.owners
-    edges = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda key, t: _send_edges(key, t, n, k), _ddl(SENT)))
-    told = edges.groupBy("part").applyInArrow(lambda key, t: _tell_edges(key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk")
-    nodes = c.owned(c.with_docs(c.home(told), lambda key, a, b: _send_nodes(key, a, b, n, k), _ddl(SENT)))
-    more = nodes.groupBy("part").applyInArrow(lambda key, t: _tell_nodes(key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk")
-    paths = c.with_docs(c.home(told.unionByName(more)), lambda key, a, b: _paths(key, a, b, n, k), _ddl(PATHS))
-    paths = paths.withColumn("salt", F.pmod(F.xxhash64("chunk", "row", "start"), F.lit(SALTS))).repartition(c.tasks, "digest", "salt")
-    some = paths.groupBy("digest", "salt").agg(F.min(F.struct("doc_id", "chunk", "row", "start")).alias("source"))
-    least = some.groupBy("digest").agg(F.min("source").alias("source"))
-    back = some.select("digest", "salt").join(least, "digest")
-    return paths.join(back, ["digest", "salt"]).where(F.col("source.doc_id") < F.col("doc_id"))
+    edges = c.owned(c.docs.groupBy("chunk").applyInArrow(lambda key, t: T.freed(_send_edges, key, t, n, k), _ddl(SENT)))
+    told = edges.groupBy("part").applyInArrow(lambda key, t: T.freed(_tell_edges, key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk")
+    nodes = c.owned(c.with_docs(c.home(told), lambda key, a, b: T.freed(_send_nodes, key, a, b, n, k), _ddl(SENT)))
+    told = told.unionByName(nodes.groupBy("part").applyInArrow(lambda key, t: T.freed(_tell_nodes, key, t), _ddl(TOLD)).withColumnRenamed("src", "chunk"))
+    paths = c.with_docs(c.home(told), lambda key, a, b: T.freed(_send_paths, key, a, b, n, k), _ddl(PATHS))
+    source = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("digest"))
+    sources = paths.withColumn("source", source).where(F.col("source.doc_id") < F.col("last"))
+    sources = sources.select("chunk", F.lit(PATH).alias("kind"), F.col("digest").alias("bits"), F.col("source.doc_id").alias("doc"), F.col("source.start").alias("start"))
+    return c.home(told.unionByName(sources, allowMissingColumns=True))
 
 
 def find_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """Paths of words that a smaller document has too: doc_id, start, n (words), source_doc, source_start."""
-    found = _sourced(chunked(docs), k)
-    return found.select("doc_id", "start", "n", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
+    c = chunked(docs)
+    n = c.owners
+    return c.with_docs(_told_paths(c, k), lambda key, a, b: T.freed(_spans, a, b, n, k), _ddl(FOUND))
 
 
 def remove_repeats(docs: DataFrame, k: int = K, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and with texts the kept words as `kept`."""
     c = chunked(docs)
-    spans = c.home(_sourced(c, k).select("chunk", "row", "start", "n"))
-    out = c.with_docs(spans, lambda key, a, b: _remove(a, b, texts), _ddl(RESULT))
+    n = c.owners
+    out = c.with_docs(_told_paths(c, k), lambda key, a, b: T.freed(_remove, a, b, n, k, texts), _ddl(RESULT))
     return out if texts else out.drop("kept")

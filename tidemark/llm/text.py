@@ -52,6 +52,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def freed(f, *args):
+    """f(*args), with what it used given back."""
+    out = f(*args)
+    release()
+    return out
+
+
 def strings(col) -> pa.Array:
     """One chunk of large strings without nulls; null becomes the empty text."""
     if isinstance(col, pa.ChunkedArray):
