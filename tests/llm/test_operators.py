@@ -355,18 +355,34 @@ def test_sentencepiece(spark, sf_dir, corpus, odd, none):
         ids = sptok.encode(t, m)
         assert ids == sp.encode(t), t[:80]
         assert sptok.decode(ids, m) == t
-    for t in ("a" * 9_000, "=" * 9_000, " " * 9_000, "".join(rng.choice(list("abcdetheion"), 20_000))):  # several chunks, nowhere to cut
-        ids = sptok.encode(t, m)
-        assert ids == sp.encode(t) and sptok.decode(ids, m) == t
     v = m.vocabulary
+    for t in texts[-80:] + [r["text"] for r in itertools.islice(corpus.values(), 40)] + [LONG[:20_000]]:  # cut wherever it falls, at spaces and within words
+        for size in (v.longest, 24, 97):
+            assert sptok.encode_by_chunks(t, m, size) == sp.encode(t), (size, t[:80])
+    for t in ("a" * 9_000, "=" * 9_000, " " * 9_000, "".join(rng.choice(list("abcdetheion"), 20_000))):  # nowhere to cut
+        assert sptok.encode_by_chunks(t, m, 4096) == sptok.encode(t, m) == sp.encode(t) and sptok.decode(sptok.encode(t, m), m) == t
     for t in [s for s in texts if " " not in s[:60]][:40] + ["".join(rng.choice(list("abcdetheion"), 400)) for _ in range(6)]:
         s = sptok.SPACE + "".join(t.split())[:400]
-        assert v.segment(s, chunk=24) == v.merge(s)
+        assert v.segment(s) == v.merge(s)
+    for t in texts[-60:]:
+        assert [x.end() for x in v.cut.finditer(" " + t)][:-1] == [q for q in range(1, len(t) + 1) if v.parts(" " + t, q)]
     got = sptok.encode_decode(odd).collect()
     assert len(got) == len(ODD) and all(r["round_trip"] for r in got if r["doc_id"] != 10)
     coded = sptok.detokenize(sptok.tokenize(odd)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in coded if r["doc_id"] != 10)
     assert sptok.encode_decode(none).count() == 0
+    for chunk in (100, 5000):  # most or a few texts as rows of chunks
+        assert sorted(map(str, sptok.encode_decode(odd, chunk=chunk).collect())) == sorted(map(str, got))
+    assert sorted(map(str, sptok.tokenize(odd, chunk=100).collect())) == sorted(map(str, sptok.tokenize(odd).collect()))
+
+
+def test_sentencepiece_giant(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sptok.MODEL)
+    text = (LONG + " ÀÉ 日本 ") * 8  # 1.4 million characters
+    rows = sptok.tokenize(docs(spark, [(1, text, None), (2, "short", None)]))
+    assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {1: sp.encode(text), 2: sp.encode("short")}
 
 
 def test_language(spark, sf_dir, corpus, odd, none):

@@ -6,19 +6,25 @@ pair. Over positions and last pieces this is a lattice whose edges weigh 0 (allo
 or minus infinity, and the one path of weight 0 is the encoding: the same ids as
 the public library gives for the vocabulary.
 
-Text is cut where no piece can cross: before a space that follows another
-character, and around characters that no piece combines. Short segments are solved
-once and remembered. A segment longer than CHUNK is split into chunks: each yields
-a transfer matrix from boundary states at its start to boundary states at its end
-(a state is how far the crossing piece reaches over the cut, and which piece it is),
-matrices are combined in the max-plus algebra as a tree, which fixes the state at
-every cut, and each chunk is traced back on its own from the state at its end.
+A text of more than CHUNK characters is cut into chunks of that size, wherever that falls,
+and each chunk is a row of its own, with as many characters of its neighbours as the
+longest piece has. A chunk yields a transfer matrix from boundary states at its start to
+boundary states at its end: a state is how far the piece that crosses or touches the cut
+reaches over it, and which piece it is. A text's matrices are multiplied in the max-plus
+algebra as a tree, which fixes the state at every cut; then each chunk is traced back on
+its own between its two states, and the ids are joined in order. So a giant document is
+the work of many tasks, whether it has spaces or not. A shorter text is one chunk, whose
+states are its begin and end.
+
+Within a chunk no piece crosses a space that follows another character, or the edges of
+characters that no piece combines. All paths meet there, so segments between such places
+are solved by themselves, and short ones remembered; a cut at such a place has one state.
 
 Decoding joins pieces (byte pieces give bytes), U+2581 gives a space, and the
 leading space that encoding adds is dropped. It is an exact round trip for texts
 without U+2581, which decodes to a space as in the library. A null text encodes to
 no ids, as the empty one does. The vocabulary file's path is a parameter; its bytes
-(a fixed file) are broadcast. Other columns pass through untouched.
+(a fixed file) are broadcast. Other columns pass through untouched; repeated rows are repeated.
 """
 
 from __future__ import annotations
@@ -31,12 +37,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import text as T
+from .spark import checkpointed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, REMEMBER, PAIRS, TAIL = 1 << 12, 350_000, 300_000, 4
+CHUNK, REMEMBER, PAIRS, TAIL = 1 << 15, 350_000, 300_000, 4
 SPACE = "▁"
 
 
@@ -61,8 +69,9 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        single = "".join(re.escape(c) for c in map(chr, range(128)) if c not in inner and c != " ")
         # what no piece crosses: a space after another character (unless some piece has one inside), lone characters
+        self.single, self.crossing = {c for c in map(chr, range(128)) if c not in inner and c != " "}, crossing
+        single = "".join(map(re.escape, sorted(self.single)))
         self.cut = re.compile(f"[{single}]|[^{single}]+" if crossing else f"[{single}]| +[^ {single}]*|[^ {single}]+", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
         # pieces that encode to themselves, and "" for what only begins a piece
@@ -137,49 +146,98 @@ class Vocabulary:
             p -= len(path[p])
         return out[::-1]
 
-    def segment(self, s: str, chunk: int = CHUNK) -> list[str]:
+    def segment(self, s: str) -> list[str]:
         """The pieces of a segment."""
-        if len(s) <= chunk:
-            return self.trace(self.scan(s, 0, len(s), 0, None), 0, len(s))
-        return self.parallel(s, chunk)
+        return self.trace(self.scan(s, 0, len(s), 0, None), 0, len(s))
 
-    def states(self, s: str, cut: int) -> list[tuple[int, str]]:
+    def parts(self, s: str, at: int) -> bool:
+        """Whether no piece crosses a place in a text."""
+        a, b = s[at - 1], s[at]
+        return a in self.single or b in self.single or (not self.crossing and b == " " and a != " ")
+
+    def states(self, s: str, cut: int) -> list[tuple[int, str | None]]:
         """Boundary states at a cut: how far the piece that covers or ends at it reaches over, and the piece."""
+        if cut in (0, len(s)) or self.parts(s, cut):
+            return [(0, None)]
+        s = s.replace(" ", SPACE)
         return [(r, s[cut + r - n : cut + r]) for r in range(min(self.longest, len(s) - cut + 1)) for n in range(r + 1 if r else 1, min(self.longest, cut + r) + 1) if self.whole(s[cut + r - n : cut + r])]
 
-    def parallel(self, s: str, chunk: int) -> list[str]:
-        cuts = [*range(0, len(s), chunk), len(s)]
-        state = [[(0, None)], *(self.states(s, c) for c in cuts[1:-1]), [(0, s[len(s) - n :]) for n in range(1, self.longest + 1) if self.whole(s[len(s) - n :])]]
-        matrices = [self.transfer(s, cuts[k], cuts[k + 1], state[k], state[k + 1]) for k in range(len(cuts) - 1)]
-        at = states_on_path(matrices)
-        out = []
-        for k in range(len(cuts) - 1):
-            (r, last), (over, _) = state[k][at[k]], state[k + 1][at[k + 1]]
-            start, stop = cuts[k] + r, cuts[k + 1] + over
-            out += self.trace(self.scan(s, cuts[k], cuts[k + 1], start, last), start, stop) if stop > start else []
-        return out
-
-    def transfer(self, s: str, begin: int, end: int, before: list, after: list) -> np.ndarray:
-        """Max-plus matrix of a chunk: 0 where a path leads from a state at its start to one at its end."""
-        m = np.full((len(before), len(after)), -np.inf)
-        column = {x: j for j, x in enumerate(after)}
-        for i, (r, last) in enumerate(before):
-            start = begin + r
-            path = self.scan(s, begin, end, start, last)
-            for over in range(self.longest):
-                j = column.get((over, path.get(end + over)))
-                if j is not None and (start < end or over == start - end):
-                    m[i, j] = 0
-        return m
-
     def encode_segment(self, segment: str) -> list[int]:
+        return self.coded(self.segment(segment.replace(" ", SPACE)))
+
+    def coded(self, pieces: list[str]) -> list[int]:
         ids = []
-        for p in self.segment(segment.replace(" ", SPACE)):
+        for p in pieces:
             k = self.ids.get(p)
             ids += [k] if k is not None else [self.bytes.get(x, self.unk) for x in p.encode()] if self.bytes else [self.unk]
         return ids
 
 
+class Chunk:
+    """One chunk of a text: what stands in it, and as many characters before and after it as the longest piece has.
+
+    Places count in `whole`, the three joined; the text begins or ends there if left or right is empty.
+    """
+
+    def __init__(self, v: Vocabulary, left: str, mid: str, right: str):
+        self.v, self.whole, self.begin, self.end = v, left + mid + right, len(left), len(left) + len(mid)
+        self.before, self.after = v.states(self.whole, self.begin), v.states(self.whole, self.end)
+        self.text = self.whole.replace(" ", SPACE)
+        # the first and the last place that no piece crosses; None if there is none
+        inner = (q for q in range(self.begin + 1, self.end) if v.parts(self.whole, q))
+        self.first = self.begin if self.before == [(0, None)] else next(inner, self.end if self.after == [(0, None)] else None)
+        self.last = self.first
+        if self.first is not None:
+            back = (q for q in range(self.end - 1, self.first, -1) if v.parts(self.whole, q))
+            self.last = self.end if self.after == [(0, None)] else next(back, self.first)
+
+    def _to(self, end: int, state: tuple[int, str | None]) -> dict[int, str]:
+        r, last = state
+        return self.v.scan(self.text, self.begin, end, self.begin + r, last)
+
+    def _ends(self, path: dict[int, str], row: np.ndarray) -> None:
+        for j, (over, piece) in enumerate(self.after):
+            if path.get(self.end + over) == piece:
+                row[j] = 0
+
+    def transfer(self) -> np.ndarray:
+        """Max-plus matrix: 0 where a path leads from a state at the start to one at the end, else minus infinity."""
+        m = np.full((len(self.before), len(self.after)), -np.inf)
+        if self.first is None:  # one segment goes through the whole chunk
+            for i, state in enumerate(self.before):
+                if self.begin + state[0] <= self.end:
+                    self._ends(self._to(self.end, state), m[i])
+                else:
+                    m[i, [j for j, x in enumerate(self.after) if x == (self.begin + state[0] - self.end, state[1])]] = 0
+            return m
+        into = [self.first == self.begin or (self.begin + x[0] <= self.first and self.first in self._to(self.first, x)) for x in self.before]
+        out = np.full(len(self.after), -np.inf)
+        if self.last == self.end:
+            out[0] = 0
+        else:
+            self._ends(self.v.scan(self.text, self.last, self.end, self.last, None), out)
+        m[into] = out
+        return m
+
+    def ids(self, a: int, b: int, memory: Memory) -> list[int]:
+        """The ids between two states: the path is traced back, remembered segments are looked up."""
+        (r, _), (over, _) = self.before[a], self.after[b]
+        start, stop = self.begin + r, self.end + over
+        if self.first is None:
+            return self.v.coded(self.v.trace(self._to(self.end, self.before[a]), start, stop)) if stop > start else []
+        out = self.v.coded(self.v.trace(self._to(self.first, self.before[a]), start, self.first)) if start < self.first else []
+        out += chain.from_iterable(map(memory.__getitem__, self.v.cut.findall(self.whole, self.first, self.last)))
+        if self.last < stop:
+            out += self.v.coded(self.v.trace(self.v.scan(self.text, self.last, self.end, self.last, None), self.last, stop))
+        return out
+
+
+def cuts(text: str, size: int, margin: int) -> list[tuple[str, str, str]]:
+    """Chunks of a text, each with `margin` characters before and after it."""
+    text = " " + text
+    return [(text[max(0, k - margin) : k], text[k : k + size], text[k + size : k + size + margin]) for k in range(0, len(text), size)]
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product in the max-plus algebra."""
     out = np.full((a.shape[0], b.shape[1]), -np.inf)
@@ -188,6 +246,13 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def encode_by_chunks(text: str, m: Memory, size: int) -> list[int]:
+    """The ids of a text by the parallel scan, in one process."""
+    chunks = [Chunk(m.vocabulary, *x) for x in cuts(text, size, m.vocabulary.longest)]
+    at = states_on_path([x.transfer() for x in chunks])
+    return [i for x, a, b in zip(chunks, at, at[1:]) for i in x.ids(a, b, m)]
+
+
 def states_on_path(matrices: list[np.ndarray]) -> list[int]:
     """The state at every cut on the best path from the one state before to the best after.
 
@@ -271,7 +336,48 @@ def _model(spark, path: str):
     return spark.sparkContext.broadcast(raw)
 
 
-def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def _scanned(texts: DataFrame, shared, size: int) -> DataFrame:
+    """key and ids of long texts (key, text) by the parallel scan over rows of chunks."""
+    kind = texts.schema["key"].dataType.simpleString()
+
+    def split(batches):
+        margin = memory(shared.value).vocabulary.longest
+        for b in batches:
+            for key, text in zip(b["key"].to_pylist(), b["text"].to_pylist()):
+                rows = cuts(text, size, margin)
+                for k in range(0, len(rows), 256):  # 8 million characters at a time
+                    part = rows[k : k + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part)), pa.array(range(k, k + len(part)), pa.int32()), *(pa.array(list(c), pa.string()) for c in zip(*part))], ["key", "k", "left", "mid", "right"])
+
+    def matrices(batches):
+        v = memory(shared.value).vocabulary
+        for b in T.slices(batches, 64):
+            got = [Chunk(v, *x).transfer() for x in zip(*(b[c].to_pylist() for c in ("left", "mid", "right")))]
+            yield pa.RecordBatch.from_arrays([b["key"], b["k"], pa.array([x.shape[1] for x in got], pa.int32()), pa.array([np.packbits(x == 0).tobytes() for x in got], pa.binary())], ["key", "k", "ends", "allowed"])
+
+    def path(key, t: pa.Table) -> pa.Table:
+        t, starts, all_ = t.sort_by("k"), 1, []
+        for ends, allowed in zip(t["ends"].to_pylist(), t["allowed"].to_pylist()):
+            bits = np.unpackbits(np.frombuffer(allowed, np.uint8), count=starts * ends).reshape(starts, ends)
+            all_.append(np.where(bits, 0.0, -np.inf))
+            starts = ends
+        at = states_on_path(all_)
+        return pa.table({"key": t["key"], "k": t["k"], "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
+
+    def trace(batches):
+        m = memory(shared.value)
+        for b in T.slices(batches, 64):
+            got = [np.array(Chunk(m.vocabulary, *x[:3]).ids(x[3], x[4], m), np.int32) for x in zip(*(b[c].to_pylist() for c in ("left", "mid", "right", "a", "b")))]
+            yield pa.RecordBatch.from_arrays([b["key"], b["k"], _lists(got)], ["key", "k", "ids"])
+
+    tasks = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = texts.mapInArrow(split, f"key {kind}, k int, left string, mid string, right string").repartition(tasks, "key", "k")
+    states = rows.mapInArrow(matrices, f"key {kind}, k int, ends int, allowed binary").groupBy("key").applyInArrow(lambda key, t: path(key, t), f"key {kind}, k int, a int, b int")
+    coded = rows.join(states, ["key", "k"]).mapInArrow(trace, f"key {kind}, k int, ids array<int>")
+    return coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+
+
+def tokenize(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """Documents with ids array<int> added (an ids column already there is replaced)."""
     docs, shared = docs.drop("ids"), _model(docs.sparkSession, model)
     schema = S.StructType([*docs.schema, S.StructField("ids", S.ArrayType(S.IntegerType()))])
@@ -283,7 +389,11 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
             got = [np.array(encode(t, m), np.int32) for t in T.strings(b["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(got)], [*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, schema)
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    # long texts are few but may be read again and again; equal ones are scanned once
+    rows = checkpointed(docs.where(long).select(F.struct("*").alias("row"), F.unhex(F.sha2("text", 256)).alias("key")))
+    ids = _scanned(rows.groupBy("key").agg(F.min("row.text").alias("text")), shared, chunk)
+    return docs.where(~long).mapInArrow(run, schema).unionByName(rows.join(ids, "key").select("row.*", "ids"))
 
 
 def _lists(got: list[np.ndarray]) -> pa.Array:
@@ -307,20 +417,19 @@ def detokenize(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> D
     return coded.mapInArrow(run, schema)
 
 
-def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_sha256 (little-endian int32), decoded_sha256, round_trip."""
     shared = _model(docs.sparkSession, model)
 
     def run(batches):
         m = memory(shared.value)
-        gc.freeze()
-        for b in T.slices(batches):
-            rows = []
-            for t in T.strings(b["text"]).to_pylist():
-                ids = encode(t, m)
-                back = decode(ids, m)
-                rows.append((len(t), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
+        for b in T.slices(batches, 64):
+            rows, k = [], b.schema.get_field_index("ids")
+            for t, x in zip(T.strings(b["text"]).to_pylist(), b.column(k)):
+                ids = x.values.to_numpy(zero_copy_only=False)
+                back = decode(ids.tolist(), m)
+                rows.append((len(t), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds))], ["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return tokenize(docs.select("doc_id", "text"), model, chunk).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
