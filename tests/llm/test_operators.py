@@ -428,7 +428,25 @@ def test_language_filters():
     assert c.argmax() == 9 and c[9] == 500 and np.all(np.delete(c, 9) < 60)  # corrected: near 0 though the filters are crowded
 
 
+def brute_print(t):
+    """SimHash of pairs of lower-case words by its definition; only the terms' 64-bit hashes are the operator's."""
+    ws = words((t or "").translate(UP))
+    raw = " ".join(ws).encode()
+    ends = list(itertools.accumulate((len(w.encode()) + 1 for w in ws), initial=0))
+    from tidemark.llm import text as T
+
+    h = T.span_hashes(np.frombuffer(raw, np.uint8), np.array(ends[:-1]), np.array(ends[1:]) - 1) if ws else []
+    terms = Counter(int(x) for x in (T.rolling(h, 2) if len(ws) > 1 else h))
+    out = 0
+    for bit in range(64):
+        votes = sum((1 if x >> bit & 1 else -1) * (1 + int(math.log2(n))) for x, n in terms.items())
+        out |= (votes > 0) << bit
+    return out
+
+
 def test_simhash(spark, sf_dir, corpus, none):
+    for i in sorted(corpus)[:60]:
+        assert simhash.of_texts([corpus[i]["text"].encode()]) == [brute_print(corpus[i]["text"])]
     monotone = sorted(corpus, reverse=True)
     got = {r["doc_id"]: r for r in queries.op9_simhash(spark, sf_dir).collect()}
     assert set(got) == set(corpus)
@@ -441,6 +459,10 @@ def test_simhash(spark, sf_dir, corpus, none):
         assert r["fingerprint"] == f"{prints[i]:016x}" and r["edited_fingerprint"] == f"{simhash.of_texts([edited.encode()])[0]:016x}"
         assert r["near_next"] == simhash.likeness(prints[i], prints[j])
     assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()]) + 0.1
+    distinct = {r["fingerprint"] for r in got.values()}
+    for i, r in got.items():
+        want = sum(1 for x in distinct - {r["fingerprint"]} if (int(x, 16) ^ int(r["fingerprint"], 16)).bit_count() <= simhash.RADIUS)
+        assert r["n_near"] == (want if i % simhash.QUERIES == 0 else None)
     sparse = docs(spark, [(i, t, None) for i, t in [(-9000, "a b"), (5, None), (70_000, "c d e"), (70_001, "x y z"), (None, "n n n")]])
     out = {r["doc_id"]: r for r in simhash.fingerprint_edits(sparse).collect()}
     for i, e in {70_001: "x yc ", 70_000: "c d e"[:4], 5: "", -9000: "ax", None: "n n"[:3] + ""}.items():
@@ -452,6 +474,29 @@ def test_simhash(spark, sf_dir, corpus, none):
     assert lone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_simhash_sparse_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), f"w{i} x{k % 7} " * 6) for k, i in enumerate(rng.integers(-(1 << 62), 1 << 62, 400))]
+    rows += [(5, "b b b"), (5, "a a a"), (5, "c c c"), (1 << 60, "tie tie tie"), (1 << 60, "tie tie tie"), (None, "n n n"), (None, None)]
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in simhash.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=str)
+    order = sorted((i, t) for i, t in rows if i is not None)
+    want = []
+    for (i, t), (_, nxt) in [*zip(order, [order[-1], *order[:-1]]), *(((i, t or ""), (None, "")) for i, t in rows if i is None)]:
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), simhash.likeness(brute_print(t), brute_print(nxt))))
+    assert got == sorted(want, key=str)
+
+
+def test_simhash_search(spark):
+    rng = np.random.default_rng(14)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
+    prints = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, n % 5, replace=False)) for b in base for n in range(60)})
+    frame = spark.createDataFrame([(f"{x:016x}",) for x in prints * 2], "fingerprint string")
+    asked = frame.where(F.substring("fingerprint", 16, 1).isin(*"0369c"))
+    got = {r["fingerprint"]: (r["n"], r["n_near"]) for r in simhash.count_near(asked, frame).collect()}
+    assert got == {f"{x:016x}": (2, sum(0 < (x ^ y).bit_count() <= 3 for y in prints)) for x in prints if f"{x:016x}"[-1] in "0369c"}
+
+
 def test_simhash_neighbours(spark):
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(0, 1 << 63, 30)]

@@ -2,14 +2,15 @@
 
 A fingerprint has eight bytes. Fingerprints that differ in at most 4 bits agree in
 at least 4 bytes at their positions, so a pair is kept only if its tally of shared
-positional bytes reaches 4. Posting lists of single bytes would hold a 256th of all
-fingerprints each; the index therefore posts each fingerprint under its 70 choices
-of four positional bytes (32 bits), of which every pair with a tally of 4 shares
-one. Only distinct fingerprints are posted: copies are members of one class.
-
-Within a posting list a breadth-first walk compares a fingerprint with those not
-reached yet, a vector at a time, and emits links of a spanning forest: never all
-pairs, and no connection is lost. Lists are read as sorted streams of 8-byte
+positional bytes reaches 4, and then verified by its differing bits. Posting lists of
+single bytes would hold a 256th of all fingerprints each, and tallies all pairs within
+them; so the lists are those of four positional bytes together, 70 for each fingerprint,
+and every pair whose tally can reach 4 shares one. Only distinct fingerprints are posted:
+copies are members of one class.
+
+Within a posting list a breadth-first walk tallies the shared bytes of a fingerprint with
+each of those not reached yet, a vector at a time, and emits links of a spanning forest:
+never all pairs, and no connection is lost. Lists are read as sorted streams of 8-byte
 values. Components come from star contraction over the links.
 
 Null texts count as empty and, as all texts without a word, have fingerprint 0,
@@ -28,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .components import components
+from .components import components, joined
 from .spark import checkpointed
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BYTES = 8 - RADIUS
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def fingerprint(text: bytes) -> int:
@@ -75,7 +75,8 @@ def forest(x: np.ndarray) -> list[tuple[int, int]]:
         while queue and len(left):
             at = queue.pop()
             d = left ^ at
-            near = _BITS[(d & np.uint64(0xFFFF)).astype(np.intp)] + _BITS[(d >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.intp)] + _BITS[(d >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.intp)] + _BITS[(d >> np.uint64(48)).astype(np.intp)] <= RADIUS
+            near = (d.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= BYTES  # the tally
+            near[near] = np.bitwise_count(d[near]) <= RADIUS
             if near.any():
                 new = left[near]
                 left = left[~near]
@@ -86,32 +87,28 @@ def forest(x: np.ndarray) -> list[tuple[int, int]]:
 
 def _linked(batches):
     """Streams of (tab, key, bits) sorted by tab and key: links of each posting list of two or more."""
-    rest = None
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            now = [np.asarray(b[c]) for c in ("tab", "key", "bits")]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-        else:
-            now = rest
-        if now is None or not len(now[0]):
-            continue
-        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-        begin, end = np.append(0, new), np.append(new, len(now[0]))
-        if b is not None:  # the last list may go on
-            rest, begin, end = [x[begin[-1] :] for x in now], begin[:-1], end[:-1]
-        links = [x for i, j in zip(begin, end) if j - i > 1 for x in forest(np.unique(now[2][i:j]).view(np.uint64))] if len(begin) else []
-        if links:
-            got = np.array(links, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+    out: list = []
+    for _, (bits,) in T.runs(batches, ("tab", "key"), ("bits",)):
+        if len(bits) > 1:
+            out += forest(np.unique(bits).view(np.uint64))
+            if len(out) > 1 << 16:
+                yield _rows(out)
+                out = []
+    if out:
+        yield _rows(out)
+
+
+def _rows(links: list) -> pa.RecordBatch:
+    got = np.array(links, np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints `bits` within RADIUS."""
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     masks = [signed(sum(0xFF << 8 * k for k in c)) for c in itertools.combinations(range(8), BYTES)]
-    postings = prints.select("bits").distinct().select(F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"), "bits")
     n = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    postings = prints.select("bits").distinct().repartition(n, "bits").select(F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"), "bits")
     sorted_lists = postings.repartition(n, "tab", "key").sortWithinPartitions("tab", "key")
     return sorted_lists.mapInArrow(_linked, "a long, b long").distinct()
 
@@ -126,8 +123,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable)."""
     prints = checkpointed(fingerprints(docs))
     of_bits = _rooted(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    classes = of_bits.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_bits.join(classes, "root").select(F.col("bits").alias("class"), "component_id")
+    classes = of_bits.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = joined(of_bits, classes, "root").select(F.col("bits").alias("class"), "component_id")
     return prints.join(named, F.col("bits") == F.col("class")).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -45,7 +45,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_and_search(table(spark, sf_dir, "documents"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

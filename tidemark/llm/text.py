@@ -89,6 +89,26 @@ def slices(batches, rows: int = 512):
         release()
 
 
+def runs(batches, keys: tuple[str, ...], values: tuple[str, ...]):
+    """Arrays of values of each group of rows with equal keys, from batches sorted by keys; a group may span batches."""
+    held: list[list[np.ndarray]] = []
+    now = None
+    for b in batches:
+        k, v = [np.asarray(b[c]) for c in keys], [np.asarray(b[c]) for c in values]
+        if not len(b):
+            continue
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(b)]):
+            key = tuple(x[i] for x in k)
+            if key != now and held:
+                yield now, [np.concatenate(x) for x in zip(*held)]
+                held = []
+            now = key
+            held.append([x[i:j] for x in v])
+    if held:
+        yield now, [np.concatenate(x) for x in zip(*held)]
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the maximal runs of bytes that aren't white space."""
     n = len(buf)
