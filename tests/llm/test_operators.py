@@ -411,7 +411,7 @@ def test_language_of_every_text_with_a_letter(spark):
     short = ["A.", "y", "Ж", "w?", "x" * 9, "中文字"]
     rows += [(1000 + i, t, None) for i, t in enumerate(short)] + [(2000, "12 34", "en"), (2001, "ihmiset vapaina", None)]
     filters = langid.fit(docs(spark, rows).where("doc_id < 1000 or doc_id = 7000"))
-    got = {r["doc_id"]: r for r in langid.predict(docs(spark, rows), filters, "doc_id").collect()}
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, rows), filters, "doc_id").select("row.*", "lang_pred", "score", "known").collect()}
     assert all(got[1000 + i]["lang_pred"] in ("en", "de", "es", "fi") and 0 < got[1000 + i]["score"] <= 1 for i in range(len(short)))
     assert got[1001]["lang_pred"] == "es" and got[1003]["lang_pred"] in ("de", "en")  # 'y' alone is a word of one of them
     assert got[2000]["lang_pred"] == "und" and got[2000]["score"] == 0

@@ -200,7 +200,7 @@ def _merge_pairs(sent: pa.Table, more: bool):
     w = [T.unpack(x, np.int64) for x in sent["b"].to_pylist()]
     sizes, w = [len(x) for x in w], np.concatenate(w)
     base = int(w.max()) + 1
-    o = np.argsort((h + 1) * base + w, kind="stable") if (int(h.max()) + 2) * base < 1 << 63 else np.lexsort((w, h))
+    o = np.argsort((h + 1) * base + w) if (int(h.max()) + 2) * base < 1 << 63 else np.lexsort((w, h))
     hs, ws = h[o], w[o]
     at = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])))
     total = np.add.reduceat(np.concatenate([T.unpack(x, np.int64) for x in sent["counts"].to_pylist()])[o], at)

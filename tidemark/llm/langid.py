@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from . import text as T
 from .spark import held_out
@@ -139,10 +140,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SLOTS, fewest: int =
 
 
 def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
-    """The columns keep (with text last if asked), lang_pred, score, known and grams."""
+    """A struct `row` of the columns keep, and lang_pred, score, known and grams: apart, so no column's name matters."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    docs = docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*dict.fromkeys([*keep, "text"]), "letter")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", lang_pred string, score double, known double, grams long"
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text", letter.alias("letter"))
+    schema = S.StructType([docs.schema["row"], S.StructField("lang_pred", S.StringType()), S.StructField("score", S.DoubleType()), S.StructField("known", S.DoubleType()), S.StructField("grams", S.LongType())])
 
     def run(batches):
         f = shared.value
@@ -162,7 +164,8 @@ def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
                 sure.append(np.where(good, c.max(axis=1) / np.maximum(c.sum(axis=1), 1e-9), 0))
                 known.append(np.where(good, most / np.maximum(1, n), 0))
                 count.append(n)
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure)), pa.array(np.concatenate(known)), pa.array(np.concatenate(count))], [*keep, "lang_pred", "score", "known", "grams"])
+            cols = (pa.array(names[np.concatenate(best)], pa.string()), *(pa.array(np.concatenate(x)) for x in (sure, known, count)))
+            yield pa.RecordBatch.from_arrays([b["row"], *cols], ["row", "lang_pred", "score", "known", "grams"])
 
     return docs.mapInArrow(run, schema)
 
@@ -170,4 +173,4 @@ def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
 def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, known; learns outside the held-out fifth."""
     docs = docs.select("doc_id", "text", "lang", held_out(5, 0).alias("held_out"))
-    return predict(docs, fit(docs.where("not held_out"), sample), "doc_id", "held_out").drop("grams")
+    return predict(docs, fit(docs.where("not held_out"), sample), "doc_id", "held_out").select("row.*", "lang_pred", "score", "known")

@@ -79,7 +79,7 @@ class Graph:
         n = max(0, len(self.row) - k + 1)
         self.at = np.flatnonzero((self.row[:n] == self.row[k - 1 :]) & (self.ids[self.row[:n]] != NONE)) if n else np.zeros(0, np.int64)
         edges = T.rolling(self.hash, k)[self.at] >> SHIFT
-        self.order = np.argsort(edges, kind="stable")
+        self.order = np.argsort(edges)
         edges = edges[self.order]
         self.begin = np.flatnonzero(np.append(True, edges[1:] != edges[:-1])) if len(edges) else np.zeros(0, np.int64)
         self.edges = edges[self.begin]
@@ -108,7 +108,7 @@ class Graph:
 
 def _distinct(h: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct nodes in order, their neighbours' hash, and which of them branch."""
-    o = np.argsort(h, kind="stable")
+    o = np.argsort(h)
     s, x = h[o], near[o]
     at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     if not len(s):
@@ -136,7 +136,7 @@ def _tell_edges(key, sent: pa.Table) -> pa.Table:
     """For each chunk's edges whether another chunk has them."""
     keys = [T.unpack_sorted(x) for x in sent["keys"].to_pylist()]
     h = np.concatenate(keys)
-    o = np.argsort(h, kind="stable")
+    o = np.argsort(h)
     s = h[o]
     same, flag = s[1:] == s[:-1], np.empty(len(h), bool)
     flag[o] = np.append(False, same) | np.append(same, False)

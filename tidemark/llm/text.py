@@ -13,7 +13,6 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 
 LIMIT = 512 << 10
@@ -145,10 +144,20 @@ def layout(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def strong_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """XXH3 of each byte string."""
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w, seed) for w in words.to_pylist()], np.uint64)
+def strong_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each byte string, mixed after every eight bytes."""
+    off, data = layout(words)
+    raw = np.append(data, np.zeros(8, np.uint8))
+    loads = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    size, at = np.diff(off), off[:-1]
+    keep = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    left = np.arange(len(size))
+    while len(left):
+        out[left] = mix((out[left] ^ (loads[at[left]] & keep[np.minimum(size[left], 8)])) * _ROLL)
+        left = left[size[left] > 8]
+        at, size = at + 8, size - 8
+    return out
 
 
 def span_hashes(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
