@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, neardup, pii, sptok
-from tidemark.llm.spark import held_out, shared_dir, table
+from tidemark.llm.spark import held_out, remove, shared_dir, table
 
 #: Least share of all a document's n-grams that its language's filter must hold.
 SURE = 0.2
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.fit(docs.where(~held_out(5, 0)), fewest=2)
     told = langid.predict(docs, filters, *docs.columns)
     kept = told.where((F.col("lang_pred") != "und") & ((F.col("known") >= SURE) | (F.col("grams") < EVIDENCE)))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts by the kind's name; n_chars follows."""
-    return pii.redact_pii(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.redact_pii(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written as Parquet in the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """All stages; each result is written as Parquet in the shared folder and read again, the one before is removed then."""
+    docs, folder, last = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{k}_{name}"
     return docs
