@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import formats, rules, stats, urls
+from tidemark.operators import aggregates as A
 from tidemark.operators import facets as fa
 from tidemark.operators import series as se
 from tidemark.plans import trace
-from tidemark.plans.explorer import Explorer
+from tidemark.plans.explorer import Explorer, two_digits
 from tidemark.sources import bundles as B
 from tidemark.streaming import windows
 
@@ -44,8 +45,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(chunk))
     with gzip.open(tmp_path / "b.json.gz", "wt") as f:
         json.dump(chunk[0], f)
-    got = B.read_chunks(spark, str(tmp_path))
+    got = B.read_chunks(spark, str(tmp_path), multi_line=True)
     assert got.count() == 4 and got.select("id").distinct().count() == 1
+    B.write_chunks(got, f"{tmp_path}/lines")
+    lines = B.read_chunks(spark, f"{tmp_path}/lines")
+    assert sorted(map(str, lines.collect())) == sorted(map(str, got.select(lines.columns).collect()))
     B.write_bundles(got, f"{tmp_path}/out")
     assert B.read_bundles(spark, f"{tmp_path}/out").count() == 4
     x = Explorer.empty(spark).with_series("pv", se.page_views())
@@ -132,6 +136,30 @@ def test_aggregates(spark):
     assert (few["inp__count"], few["inp__sum"], few["inp__variance"], few["inp__stderr"], few["inp__mean"], few["inp__max"]) == (0, 0, 0, 0, None, None)
 
 
+def test_percentiles_of_outliers(spark):
+    """One value far off, ties and few values: ranks are exact, and ranges hold about as many values each."""
+    x = Explorer(spark.range(20_000).select(F.lit(1).alias("weight"), (F.col("id") % 3).cast("string").alias("key"), F.when(F.col("id") == 7, 1e9).when(F.col("id") % 5 == 0, 3.0).otherwise((F.col("id") * 7919 % 10_007) / 8).alias("s")))
+    x = x.with_series("s", F.col("s"))
+    values = {}
+    for r in x.bundles.collect():
+        values.setdefault(r["key"], []).append(r["s"])
+    points = (0, 1, 33.3, 50, 99, 99.99, 100)
+    pick = lambda v: tuple(sorted(v)[int(p * len(v) // 100)] if p < 100 else None for p in points)
+    assert {r[0]: tuple(r)[1:] for r in x.group_percentiles(F.col("key"), "s", points).collect()} == {k: pick(v) for k, v in values.items()}
+    assert tuple(x.total_percentiles("s", points).first()) == pick(sum(values.values(), []))
+    counted = x.bundles.groupBy(F.col("s").alias("v")).agg(F.count("*").alias("n"))
+    sizes = [r["count"] for r in A.ranked(counted, []).groupBy("range").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
+def test_totals_only_on_demand(three):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(three.group(F.col("userAgent"), names=("sum",))) and "Join" in plan(three.group(F.col("userAgent"), names=("sum", "share")))
+    got = three.group(F.col("userAgent"), names=("share",)).columns
+    assert "pageViews__share" in got and "pageViews__percentage" not in got
+    assert three.facet_view(["userAgent"], ("share", "percentage")).where("pageViews__share is not null or pageViews__percentage is not null").count() == 0
+
+
 def test_series(spark):
     many = [("viewblock",)] * 4
     b = frame(
@@ -204,6 +232,15 @@ def test_histograms(spark):
     assert sum(n for n, _ in view.values()) == 31 and view["h", "<3"] == (3, 3) and view["h", ">=27"] == (4, 4)
     assert x.thresholds("n", 2, steps="quantiles") == [12, 25] and x.thresholds("n", 2, 10, 20)[0] == 10
     assert x.thresholds("n", 3, steps="logarithmic")[0] == 1
+    for n, weights in ((5, [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]), (4, [100, 1, 1, 1, 1]), (3, [1, 1])):  # as one fold over the ordered values
+        y = Explorer(frame(spark, *[bundle(str(i), weight=w) for i, w in enumerate(weights)])).with_facet("n", F.col("id"))
+        now, out, step = 0, [], sum(weights) / (n + 1 / n)
+        for i, w in enumerate(weights):
+            now += w
+            if now > step:
+                out.append(i)
+                now = 0
+        assert y.thresholds("n", n, steps="quantiles") == [(out[k] if k < len(out) else 0) or len(weights) - 1 for k in range(n)]
     cut = x.with_filter({"n": ["1"]}).with_facet("w", F.col("weight")).with_filter({"w": ["5"]}).with_histogram("h", "n", 2)
     assert cut.with_filter({}).facet_view(["h"]).count() == 0
 
@@ -237,6 +274,10 @@ def test_formats(spark):
     assert {n: formats.round_to_confidence_interval(n) for n in shown} == shown
     cut = {(31415, 30): "31k", (3141592, 300): "3.1m", (314159265, 3000): "310m", (3141592653, 30): "3.1b", (3141592653, 300000): "3.142b", (3141592653, 3000): "3.1b"}
     assert {k: formats.round_to_confidence_interval(*k) for k in cut} == cut
+    ties = {1250: "1.3k", 1.25: "1.3", 125: "130", 1.15: "1.2", -1250: "-1.3k", 1350: "1.4k", 99.5: "100", 999_500: "1m"}
+    assert {n: formats.to_human_readable(n) for n in ties} == ties
+    assert [two_digits(x) for x in (0.125, 125.0, 1.25, 2.5, 1e6, 0.0, 12345.0, -0.125, 99.6)] == ["0.13", "130", "1.3", "2.5", "1,000,000", "0", "12,000", "-0.13", "100"]
+    assert value(spark, formats.rounded_to_confidence(F.lit(3141592653), F.lit(300000))) == "3.142b" and value(spark, formats.rounded_to_confidence(F.lit(None).cast("double"))) is None
     assert formats.to_human_readable(float("nan")) == "-" and formats.to_human_readable(999_999) == "1m"
     assert value(spark, formats.human_readable(F.lit(1234), 3)) == "1.23k"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 UNITS = ["", "k", "m", "b", "t"]
 
 
-def _significant(x: Decimal, digits: int) -> Decimal:
+def significant(x: Decimal, digits: int) -> Decimal:
+    """At most `digits` significant digits; halves go away from zero."""
     if not x:
         return x
-    return x.quantize(Decimal(1).scaleb(x.adjusted() - digits + 1), rounding=ROUND_HALF_EVEN)
+    return x.quantize(Decimal(1).scaleb(x.adjusted() - digits + 1), rounding=ROUND_HALF_UP)
 
 
 def to_human_readable(number: float | None, precision: int = 2) -> str:
@@ -24,7 +25,7 @@ def to_human_readable(number: float | None, precision: int = 2) -> str:
         return "-"
     x = Decimal(repr(number)) if isinstance(number, float) else Decimal(number)
     unit = 0 if not x else min(4, max(0, x.adjusted() // 3))
-    y = _significant(x.scaleb(-3 * unit), max(1, precision))
+    y = significant(x.scaleb(-3 * unit), max(1, precision))
     if abs(y) >= 1000 and unit < 4:
         unit, y = unit + 1, y.scaleb(-3)
     text = f"{y:f}"
@@ -73,3 +74,13 @@ def human_readable(c: Column, precision: int = 2) -> Column:
         return x.map(lambda v: to_human_readable(float(v), precision), na_action=None)
 
     return run(c.cast("double"))
+
+
+def rounded_to_confidence(total: Column, samples: Column | None = None, max_precision: float = math.inf) -> Column:
+    """round_to_confidence_interval on columns of final results."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else round_to_confidence_interval(a, a if pd.isna(b) else b, max_precision) for a, b in zip(t, n)])
+
+    return run(total.cast("double"), (total if samples is None else samples).cast("double"))

@@ -1,7 +1,8 @@
 """The engine: an immutable description of measures, dimensions and filters over a DataFrame of bundles.
 
-Every view is a lazy DataFrame built from column expressions; each `with_` method
-returns a new Explorer.
+Views are lazy DataFrames built from column expressions; each `with_` method returns a
+new Explorer. Only with_histogram, with_clusters, thresholds and top_clusters run jobs at once:
+they look at the data to learn a few numbers or names, which become part of a facet.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import urls
+from ..functions.formats import significant
 from ..operators import aggregates as A
 from ..operators import predicates as P
 from ..sources import bundles as B
@@ -135,20 +138,22 @@ class Explorer:
     def _keyed(self, key: Column) -> DataFrame:
         return self._rows(self.filtered(), F.explode(self._array(key)).alias("key"))
 
-    def group(self, key: Column, spine: DataFrame | None = None, names: Sequence[str] = A.METRICS) -> DataFrame:
-        """A row per key: bundles, series__metric, share and percentage of the totals, interpolations.
+    def group(self, key: Column, spine: DataFrame | None = None, names: Sequence[str] = (*A.METRICS, *A.RELATIVE)) -> DataFrame:
+        """A row per key: bundles, series__metric, interpolations.
 
         A bundle counts once per element of an array key. With a spine (a column key)
-        the result has exactly its keys, empty groups included.
+        the result has exactly its keys, empty groups included. share and percentage
+        compare with the totals, which are aggregated only if one of them is asked for.
         """
-        names = list(dict.fromkeys([*names, "count", "sum", "weight"]))
+        relative = [m for m in A.RELATIVE if m in names]
+        names = list(dict.fromkeys([*[m for m in names if m not in A.RELATIVE], "count", "sum", "weight"]))
         series = list(self.series)
         out = self._keyed(key).groupBy("key").agg(F.count("*").alias("bundles"), *A.metrics(series, names))
         if spine is not None:
             zeros = ["bundles", *[f"{s}__{m}" for s in series for m in names if m in ("count", "sum", "weight", "variance", "stddev", "stderr")]]
             out = spine.select(F.col("key").cast("string").alias("key")).distinct().join(out, "key", "left").fillna(0, zeros)
-        if series:
-            out = A.shares(out, self.totals(("count", "sum")), series)
+        if series and relative:
+            out = A.shares(out, self.totals(("count", "sum")), series, relative)
         known = {s: F.col(f"{s}__weight") for s in series}
         for name, sources, f in self.interpolations:
             value = f({s: known[s] for s in sources}).cast("double")
@@ -227,17 +232,15 @@ class Explorer:
             return [math.exp((math.log(hi - lo) if hi > lo else -math.inf) / count * i if i else 0.0) + lo for i in range(count)]
         if steps != "quantiles":
             raise ValueError(f"unknown steps {steps}")
-        inside = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        step = inside.agg(F.sum("weight") / (count + 1 / count)).first()[0] or 0.0
-        # one entry per distinct value of the facet, folded in order
-        start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
-        ordered = F.array_sort(F.collect_list(F.struct("v", "weight")))
-
-        def fold(acc: Column, x: Column) -> Column:
-            now = acc["sum"] + x["weight"]
-            return F.when(now > step, F.struct(F.lit(0.0).alias("sum"), F.array_append(acc["out"], x["v"]).alias("out"))).otherwise(F.struct(now.alias("sum"), acc["out"].alias("out")))
-
-        out = inside.agg(F.aggregate(ordered, start, fold)["out"].alias("out")).first()[0]
+        inside = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.sum("weight").alias("n"))
+        ranked = A.ranked(inside, []).select("v", "n", "end", "total").persist()
+        total = ranked.agg(F.first("total")).first()[0] or 0.0
+        # the first value whose weights since the last threshold exceed a step is the next one
+        step, out, since = total / (count + 1 / count), [], 0.0
+        while len(out) < count and (found := ranked.where(F.col("end") - F.lit(float(since)) > F.lit(float(step))).agg(F.min(F.struct("v", "end"))).first()[0]):
+            out.append(found["v"])
+            since = found["end"]
+        ranked.unpersist()
         return [(out[i] if i < len(out) else 0) or hi for i in range(count)]
 
     def top_clusters(self, base: str, count: int | None = None, producer: Callable[[Column], Column] = urls.url_segments) -> list[str]:
@@ -266,9 +269,8 @@ def integer(text: Column) -> Column:
 
 
 def two_digits(x: float) -> str:
-    """At most two significant digits, thousands grouped."""
+    """At most two significant digits, halves away from zero, thousands grouped."""
     if not x or math.isinf(x) or math.isnan(x):
         return "0" if not x else "∞" if x > 0 else "-∞" if x < 0 else "NaN"
-    digits = 1 - math.floor(math.log10(abs(x)))
-    y = round(x, digits)
-    return f"{y:,.{max(0, digits)}f}".rstrip("0").rstrip(".") if digits > 0 else f"{y:,.0f}"
+    y = f"{significant(Decimal(repr(float(x))), 2):,f}"
+    return y.rstrip("0").rstrip(".") if "." in y else y

@@ -151,7 +151,13 @@ _VITALS = "list_filter([" + ", ".join(f"CASE WHEN {n} <> 0 THEN ({_score(n, n)})
 _ENTER_RULES = "CASE " + " ".join(f"WHEN regexp_matches(u, {_q(p)}) THEN [u, '{t}:{v}', '{t}', '*:{v}']" for t, v, p in rules.REFERRERS) + " ELSE [u] END"
 _NOFRAG = f"CASE WHEN {_valid('x')} THEN lower({_url('x', 1)}) || '://' || {_url('x', 2)} || lower({_url('x', 3)}) || {_path('x')} || {_url('x', 5)} END"
 _ENTER = f"flatten(list_transform(list_filter(list_transform({_values('enter', 'source')}, lambda x: {_NOFRAG}), lambda u: u IS NOT NULL), lambda u: {_ENTER_RULES}))"
-_MEDIA = f"list_transform({_values('viewmedia', 'target')}, lambda x: {_plain('x')})"
+_HOST = "lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1))"
+_BARE = "regexp_replace(x, '[?#].*$', '')"
+# targets of media: rooted, in the folder above, on the page's own host, without a scheme, or elsewhere
+_MEDIA = f"""list_transform({_values('viewmedia', 'target')}, lambda x: CASE
+  WHEN starts_with(x, '//') THEN {_plain("(split_part(url, '/', 1) || x)")} WHEN starts_with(x, '/') THEN {_BARE}
+  WHEN starts_with(x, '../') THEN regexp_replace(regexp_replace({_path("url")}, '[^/]*$', ''), '(/[^/]+)?/$', '/') || {_BARE.replace("x,", "substr(x, 4),")}
+  WHEN {_url("x", 3)} = {_HOST} THEN {_path("x")} ELSE {_plain("x")} END)"""
 _ACQ = "coalesce(list_filter(" + _prefixes("string_split(list_filter(ra, lambda e: e.checkpoint = 'acquisition')[-1].source, ':')", ":") + ", lambda x: x <> ''), []::VARCHAR[])"
 _FACETS = {
     "userAgent": "uas", "url": f"[{_masked('url', 2026)}]", "plainURL": f"[{_plain('url')}]", "checkpoint": "cps", "vitals": _VITALS, "lcpTarget": _values("cwv-lcp", "target"),
@@ -164,9 +170,9 @@ def _percentiles(key: str, group: str) -> str:
     return f"SELECT {key} AS ua, {pick} FROM s WHERE lcp IS NOT NULL {group}"
 
 
-def _histogram(thresholds: str) -> str:
-    """thresholds: SQL of a CTE t(list) over v(v, w), the facet's values and weights."""
-    return f"""{PAGE_VIEWS.replace("WITH e0", "WITH RECURSIVE e0", 1)}, l AS (SELECT weight, CAST(floor(lcp) AS BIGINT) AS v FROM s WHERE lcp IS NOT NULL AND CAST(floor(lcp) AS BIGINT) IS NOT NULL),
+def _histogram(thresholds: str, where: str = "true") -> str:
+    """thresholds: SQL of a CTE t(list) over v(v, w), the facet's values and weights, of bundles that pass a filter."""
+    return f"""{PAGE_VIEWS.replace("WITH e0", "WITH RECURSIVE e0", 1)}, l AS (SELECT weight, CAST(floor(lcp) AS BIGINT) AS v FROM s WHERE lcp IS NOT NULL AND {where}),
 v AS (SELECT v, sum(weight) AS w FROM l GROUP BY v), m AS (SELECT greatest(0, min(v)) AS lo, least(30000, max(v)) AS hi FROM v), {thresholds},
 g AS (SELECT weight, list_filter(range(1, 7), lambda i: l.v < t.th[i])[1] AS i, t.th AS th FROM l, t)
 SELECT 'bins' AS facet, CASE WHEN i IS NULL THEN '>=' || CAST(CAST(floor(th[6] + 0.5) AS BIGINT) AS VARCHAR) ELSE '<' || CAST(CAST(floor(th[i] + 0.5) AS BIGINT) AS VARCHAR) END AS value,
@@ -207,6 +213,25 @@ _GROUP = ", ".join(
     for s in ("pageViews", "bounces", "lcp")
 )
 
+
+
+def _clusters(where: str = "true") -> str:
+    return _pv(f""", p AS (SELECT weight, {_plain("url")} AS u FROM s WHERE {where}), k AS (SELECT c, count(*) AS n FROM (SELECT unnest({_segments("u")}) AS c FROM (SELECT DISTINCT u FROM p)) GROUP BY c ORDER BY n DESC, c LIMIT 5), top AS (SELECT list(c) AS cs FROM k)
+SELECT 'clusters' AS facet, v AS value, count(*) AS count, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT weight, unnest(list_distinct(list_prepend(u, list_filter({_segments("u")}, lambda x: list_contains(cs, x))))) AS v FROM p, top) GROUP BY v""")
+
+
+def _short(x: str, digits: str) -> str:
+    """A whole number cut to significant digits, with its unit."""
+    cut = f"(floor({x} / pow(10, greatest(0, length(CAST({x} AS VARCHAR)) - {digits})) + 0.5) * pow(10, greatest(0, length(CAST({x} AS VARCHAR)) - {digits})))"
+    unit = f"least(4, (length(CAST(CAST({cut} AS BIGINT) AS VARCHAR)) - 1) // 3)"
+    return f"rtrim(rtrim(printf('%.9f', {cut} / pow(1000, {unit})), '0'), '.') || ['', 'k', 'm', 'b', 't'][{unit} + 1]"
+
+
+_TRACE = """WITH t AS (SELECT s_nationkey, list(s_suppkey ORDER BY s_suppkey) AS k FROM supplier GROUP BY 1),
+r AS (SELECT k[i] % 7 AS node, CASE WHEN i < len(k) THEN k[i] % 13 ELSE 0 END AS d FROM (SELECT k, unnest(range(1, len(k) + 1)) AS i FROM t)),
+p AS (SELECT CASE node WHEN 4 THEN '(inline)' ELSE 'u' || CAST(node % 2 AS VARCHAR) || '.js' END || '#' || CASE node WHEN 5 THEN '(anonymous)' ELSE 'f' || CAST(node AS VARCHAR) END AS key,
+  CAST(sum(d) AS BIGINT) AS time, count(*) AS samples FROM r WHERE node < 6 GROUP BY 1) """
+
 ORACLE_SQL = {
     "daily_traffic": _pv("""SELECT slot, count(*) AS n, CAST(sum("pageViews") AS BIGINT) AS "pageViews", CAST(sum(visits) AS BIGINT) AS visits, CAST(sum(bounces) AS BIGINT) AS bounces FROM s GROUP BY slot"""),
     "totals_metrics": _pv(" UNION ALL ".join(map(_metrics, SERIES))),
@@ -244,8 +269,21 @@ FROM (SELECT unnest(generate_series(min(CAST(slot AS DATE)) - INTERVAL 2 DAY, ma
     "histogram_linear": _histogram("t AS (SELECT list_transform(range(0, 6), lambda i: (hi - lo) / 6.0 * i + lo) AS th FROM m)"),
     "histogram_logarithmic": _histogram("t AS (SELECT list_transform(range(0, 6), lambda i: exp(ln(hi - lo) / 6 * i) + lo) AS th FROM m)"),
     "histogram_quantiles": _histogram(_QUANTILES),
-    "url_clusters": _pv(f""", p AS (SELECT weight, {_plain("url")} AS u FROM s), k AS (SELECT c, count(*) AS n FROM (SELECT unnest({_segments("u")}) AS c FROM (SELECT DISTINCT u FROM p)) GROUP BY c ORDER BY n DESC, c LIMIT 5), top AS (SELECT list(c) AS cs FROM k)
-SELECT 'clusters' AS facet, v AS value, count(*) AS count, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT weight, unnest(list_distinct(list_prepend(u, list_filter({_segments("u")}, lambda x: list_contains(cs, x))))) AS v FROM p, top) GROUP BY v"""),
+    "histogram_filtered": _histogram("t AS (SELECT list_transform(range(0, 6), lambda i: (hi - lo) / 6.0 * i + lo) AS th FROM m)", "list_contains(uas, 'mobile')"),
+    "facet_order": _pv(f"SELECT *, row_number() OVER (ORDER BY weight DESC, value) AS rank FROM ({_view('checkpoint', 'cps')}) ORDER BY rank LIMIT 10"),
+    "chunks": _pv("SELECT slot, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight, CAST(sum(len(ev)) AS BIGINT) AS events, count(lcp) AS lcps FROM s GROUP BY slot"),
+    "lifecycle": _pv(f""", c AS (SELECT count(*) AS n, count(*) FILTER (WHERE list_contains(uas, 'mobile')) AS m, count(*) FILTER (WHERE {_has('click')}) AS k, count(*) FILTER (WHERE {_has('click')} AND list_contains(uas, 'mobile')) AS mk FROM s)
+SELECT unnest(['empty', 'filtered', 'reset_facets', 'reset_series', 'load', 'append']) AS step, unnest([0, m, n, m, mk, m + mk]) AS n, unnest([0, 3, 3, 0, 3, 3]) AS series, unnest([0, 1, 0, 1, 1, 1]) AS facets FROM c"""),
+    "richness_of_visits": _pv(f", {_chao(f'SELECT count(*) AS k FROM s GROUP BY {_HOST}, slot')} SELECT {_CHAO_OUT}, round(d / cc, 6) AS darklower, round(d * cc, 6) AS darkupper, round(bc, 6) + 0.0 AS deltabc FROM y"),
+    "readable": _pv(f"""SELECT slot, {_short("n", "3")} AS "pageViews" FROM (SELECT slot, CAST(sum("pageViews") AS BIGINT) AS n FROM s GROUP BY slot)"""),
+    "rounded_to_confidence": f"""WITH p AS (SELECT p_partkey, CAST(floor(p_retailprice * p_partkey * p_size) AS BIGINT) AS t, 10 + p_size * p_size * p_partkey AS n FROM part),
+e AS (SELECT *, CAST(floor(1.96 * sqrt((t / n) * (t / n) * n) + 0.5) AS BIGINT) AS err FROM p), c AS (SELECT *, CAST(t + err AS VARCHAR) AS a, CAST(t - err AS VARCHAR) AS b FROM e),
+d AS (SELECT *, greatest(2, CAST(list_sum(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] = b[i] THEN 1 ELSE 0 END)) AS BIGINT)) AS digits FROM c)
+SELECT p_partkey, {_short("t", "digits")} AS shown, {_short("t", "2")} AS short FROM d""",
+    "trace_profile": _TRACE + "SELECT * FROM p",
+    "trace_top": _TRACE + "SELECT * FROM (SELECT *, 'own' AS of FROM p WHERE contains(key, 'u1') ORDER BY time DESC, key LIMIT 2) UNION ALL SELECT * FROM (SELECT *, 'all' AS of FROM p ORDER BY time DESC, key LIMIT 2)",
+    "url_clusters": _clusters(),
+    "clusters_filtered": _clusters("list_contains(uas, 'desktop:mac')"),
     "richness": _pv(f", {_chao(f'SELECT count(*) AS k FROM s GROUP BY {_plain(chr(117) + chr(114) + chr(108))}')} SELECT {_CHAO_OUT}, round(d / cc, 6) AS darklower, round(d * cc, 6) AS darkupper, round(bc, 6) + 0.0 AS deltabc FROM y"),
     "dark_matter": f"WITH p AS (SELECT floor(p_retailprice) AS total, floor(p_retailprice) * (1 + p_size % 2) AS moe FROM part), {_chao(f'SELECT {_SAMPLES} AS k FROM p')} SELECT {_CHAO_OUT} FROM y",
     "sampling": f"SELECT p_partkey, CAST(CASE WHEN n = 0 THEN 0 ELSE floor(1.96 * sqrt((total / n) * (total / n) * n) + 0.5) END AS BIGINT) AS error, CAST({_SAMPLES} AS BIGINT) AS sampled, round({_SAMPLES} / total, 6) AS rate FROM (SELECT p_partkey, floor(p_retailprice) AS total, CAST(p_size % 7 AS DOUBLE) AS n, 100.0 AS moe FROM part)",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, stats, urls
@@ -12,9 +13,10 @@ from ..functions.events import reclassified
 from ..functions.rules import acquisition, consent, referrer
 from ..operators import facets as fa
 from ..operators import series as se
-from ..sources.bundles import append, page_views
+from ..sources.bundles import append, enrich, page_views, read_chunks, write_chunks
+from ..sources.scratch import scratch
 from .explorer import Explorer
-from .trace import TRACE, profile
+from .trace import profile, read_trace, top
 
 YEAR = 2026
 SPREADS = ("variance", "stddev", "stderr")
@@ -181,11 +183,53 @@ def url_clusters(spark, sf_dir):
     return _view(x.with_clusters("clusters", "plainURL", 5).facet_view(["clusters"]))
 
 
+def histogram_filtered(spark, sf_dir):
+    """Ranges of what passed the filter at registration; other bundles have none, also without the filter."""
+    x = explorer(spark, sf_dir, "userAgent", series=()).with_facet("lcp", F.col("cwvLCP").cast("long").cast("string")).with_filter({"userAgent": ["mobile"]})
+    x = x.with_histogram("bins", "lcp", 6, 0, 30_000, "linear", lambda t: str(math.floor(t + 0.5)))
+    return _view(x.with_filter({}).facet_view(["bins"]))
+
+
+def clusters_filtered(spark, sf_dir):
+    x = explorer(spark, sf_dir, "userAgent", "plainURL", series=()).with_filter({"userAgent": ["desktop:mac"]}).with_clusters("clusters", "plainURL", 5)
+    return _view(x.with_filter({}).facet_view(["clusters"]))
+
+
+def facet_order(spark, sf_dir):
+    """The ten heaviest checkpoints, in order."""
+    x = _view(explorer(spark, sf_dir, "checkpoint", series=()).facet_order("checkpoint").limit(10))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("weight"), "value")).cast("long"))
+
+
+def chunks(spark, sf_dir):
+    """Page views written as JSON chunks, read again and enriched."""
+    path = f"{scratch(spark)}/chunks"
+    write_chunks(page_views(spark, sf_dir), path)
+    rows = enrich(read_chunks(spark, path))
+    return rows.groupBy(F.col("timeSlot").alias("slot")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.size("events")).cast("long").alias("events"), F.count("cwvLCP").alias("lcps"))
+
+
+def lifecycle(spark, sf_dir):
+    """Bundles that an Explorer holds after its operations: rows, series and facets of each."""
+    x = explorer(spark, sf_dir, "userAgent").with_filter({"userAgent": ["mobile"]})
+    clicks = x.bundles.where(F.exists("events", lambda e: e["checkpoint"] == "click"))
+    steps = {"empty": Explorer.empty(spark), "filtered": x, "reset_facets": x.reset_facets(), "reset_series": x.reset_series(), "load": x.load(clicks), "append": x.append(clicks)}
+    out = [e.filtered().agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), "n", F.lit(len(e.series)).alias("series"), F.lit(len(e.facets)).alias("facets")) for k, e in steps.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def richness(spark, sf_dir):
     x = explorer(spark, sf_dir, "plainURL", series=()).estimators("plainURL")
     return x.select(*[F.round(c, 6).alias(c.lower()) for c in x.columns])
 
 
+def richness_of_visits(spark, sf_dir):
+    """Richness of pairs of a page's host and a day, of which many occur once or twice."""
+    pair = F.concat("host", F.lit(" "), F.col("timeSlot"))
+    x = explorer(spark, sf_dir, series=()).with_facet("visit", pair).estimators("visit")
+    return x.select(*[F.round(c, 6).alias(c.lower()) for c in x.columns])
+
+
 def dark_matter(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor("p_retailprice").cast("double").alias("total"), (F.floor("p_retailprice") * (1 + F.col("p_size") % 2)).cast("double").alias("moe"))
     x = stats.dark_matter(part, "total", "moe")
@@ -246,15 +290,36 @@ def known_facets(spark, sf_dir):
 
 
 def readable(spark, sf_dir):
-    """Final output as short numbers (rows only: formatting has no SQL)."""
+    """Final output as short numbers."""
     return daily_traffic(spark, sf_dir).select("slot", formats.human_readable(F.col("pageViews"), 3).alias("pageViews"))
 
 
+def rounded_to_confidence(spark, sf_dir):
+    """Totals cut to the digits that their sampling error leaves."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_retailprice") * F.col("p_partkey") * F.col("p_size")).alias("total"), (10 + F.col("p_size") * F.col("p_size") * F.col("p_partkey")).alias("samples"))
+    return part.select("p_partkey", formats.rounded_to_confidence(F.col("total"), F.col("samples")).alias("shown"), formats.human_readable(F.col("total")).alias("short"))
+
+
+def _traces(spark, sf_dir) -> DataFrame:
+    """A trace file per nation, with a sample per supplier, written and read again."""
+    frames = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.struct(F.lit(None if i == 4 else f"u{i % 2}.js").cast("string").alias("url"), F.lit(None if i == 5 else f"f{i}").cast("string").alias("functionName")).alias("callFrame")) for i in range(6)])
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("k"))
+    data = F.struct(F.struct(frames.alias("nodes"), F.transform("k", lambda x: x % 7).alias("samples")).alias("cpuProfile"), F.transform(F.slice("k", 1, F.greatest(F.size("k") - 1, F.lit(0))), lambda x: x % 13).alias("timeDeltas"))
+    event = lambda cat: F.struct(F.lit(cat).alias("cat"), F.lit("ProfileChunk").alias("name"), F.struct(data.alias("data")).alias("args"))
+    path = f"{scratch(spark)}/traces"
+    file = F.to_json(F.struct(F.array(event("disabled-by-default-v8.cpu_profiler"), event("other")).alias("traceEvents")))
+    rows.select("s_nationkey", file.alias("value")).write.partitionBy("s_nationkey").text(path)
+    return read_trace(spark, path)
+
+
 def trace_profile(spark, sf_dir):
-    """A profile of one small trace (rows only)."""
-    nodes = ", ".join(f"named_struct('id', {i}L, 'callFrame', named_struct('url', 'u{i % 2}.js', 'functionName', 'f{i}'))" for i in range(4))
-    event = f"named_struct('cat', 'disabled-by-default-v8.cpu_profiler', 'name', 'ProfileChunk', 'args', named_struct('data', named_struct('cpuProfile', named_struct('nodes', array({nodes}), 'samples', array(0L, 1L, 1L, 9L, 3L)), 'timeDeltas', array(5L, 7L, 1L))))"
-    return profile(spark.range(1).select(F.expr(f"array({event})").cast(TRACE.split(" ", 1)[1]).alias("traceEvents")))
+    return profile(_traces(spark, sf_dir))
+
+
+def trace_top(spark, sf_dir):
+    """Two functions of one file with most time; then of all, as no key matches."""
+    entries = profile(_traces(spark, sf_dir))
+    return top(entries, "u1", 2).withColumn("of", F.lit("own")).unionByName(top(entries, "nowhere", 2).withColumn("of", F.lit("all")))
 
 
 QUERIES = {
@@ -262,7 +327,7 @@ QUERIES = {
     for f in (
         daily_traffic, totals_metrics, group_metrics, group_percentiles, filter_conjunction, filter_unknown, conversions, conversion_rates, facets_plain, facets_drilldown, facet_metrics,
         checkpoint_sources, series_sums, enriched, reclassified_events, classify_acquisition, classify_referrer, classify_consent, filled_days, interpolated_ratio, url_clusters, richness,
-        dark_matter, sampling, z_test, t_test, trend, scores, append_bundles, url_masks, known_facets, readable, trace_profile,
+        histogram_filtered, clusters_filtered, facet_order, chunks, lifecycle, richness_of_visits, rounded_to_confidence, trace_top, dark_matter, sampling, z_test, t_test, trend, scores, append_bundles, url_masks, known_facets, readable, trace_profile,
     )
 }
 QUERIES |= {f"filter_{c}": _filter(c) for c in ("some", "every", "none", "never")}

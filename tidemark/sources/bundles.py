@@ -27,8 +27,12 @@ def flatten(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("rumBundles").alias("b")).select("b.*")
 
 
-def read_chunks(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Bundles of JSON chunks, a file each or an array of them; gzip is read as such."""
+def read_chunks(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Bundles of JSON chunks, one to a line; gzip is read as such.
+
+    With multi_line a file is one chunk, or an array of them, over any number of lines; it
+    is then the work of one task, so large inputs should have a chunk to a line.
+    """
     return flatten(spark.read.schema(CHUNK).option("multiLine", multi_line).json(path))
 
 
@@ -37,6 +41,13 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_chunks(bundles: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON chunks, one to a line: the bundles of a time slot that one task has."""
+    raw = F.struct(*[F.col(f.name) for f in BUNDLE])
+    chunks = bundles.groupBy(F.col("timeSlot").alias("date"), F.spark_partition_id().alias("part")).agg(F.collect_list(raw).alias("rumBundles"))
+    chunks.drop("part").write.mode(mode).json(path)
+
+
 def write_bundles(bundles: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet partitioned by day, so that reads of a span of time prune."""
     bundles.withColumn("date", F.substring("timeSlot", 1, 10)).write.mode(mode).partitionBy("date").parquet(path)
@@ -95,11 +106,13 @@ SELECT e.event_id, e.ts,
     WHEN e.event_type = 'signup' THEN CASE e.event_id % 8 WHEN 0 THEN 'google' WHEN 1 THEN 'facebook' WHEN 2 THEN 'newsletter' WHEN 3 THEN 'cpc' WHEN 4 THEN 'tiktok'
         WHEN 5 THEN 'sfmc' WHEN 6 THEN 'organic_social' ELSE 'gmb' END
     WHEN e.event_type = 'view' AND e.event_id % 10 = 9 AND e.event_id % 4 = 1 THEN 'prerendered'
-    WHEN e.event_type = 'view' AND e.event_id % 10 = 6 THEN concat('https://media.example.com/image-', cast(e.event_id % 5 AS varchar(20)), '.png?width=750#x')
+    WHEN e.event_type = 'view' AND e.event_id % 10 = 6 THEN CASE e.event_id % 7 WHEN 0 THEN '/media/a.png?width=750#x' WHEN 1 THEN '../b.png#x'
+        WHEN 2 THEN concat(split_part(p.url, '/', 1), '//', split_part(p.url, '/', 3), '/own/c.png?q') WHEN 3 THEN '//cdn.example.com/d.png'
+        ELSE concat('https://media.example.com/image-', cast(e.event_id % 7 AS varchar(20)), '.png?width=750#x') END
     WHEN e.event_type = 'purchase' AND e.event_id % 3 = 0 THEN 'https://media.example.com/hero.png' END AS target,
   CASE WHEN e.event_type = 'purchase' THEN
     CASE WHEN e.event_id % 10 < 4 THEN floor(e.value * 100) WHEN e.event_id % 10 < 6 THEN floor(e.value) / 256 WHEN e.event_id % 10 < 8 THEN floor(e.value * 8) ELSE floor(e.value * 32) END END AS value
-FROM {events} e JOIN {pages} p ON p.page_id = e.user_id % 50
+FROM (SELECT *, (user_id * 31 + extract(DAY FROM ts)) % (SELECT nullif(count(*), 0) FROM {pages}) AS page FROM {events}) e JOIN {pages} p ON p.page_id = e.page
 """
 
 
