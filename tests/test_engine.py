@@ -204,6 +204,21 @@ def test_urls(spark):
     assert value(spark, urls.url_segments(F.lit("none"))) == value(spark, urls.url_segments(F.lit("https://x.com/"))) == []
 
 
+def test_url_normal_form(spark):
+    want = {
+        "http://a.com:80/x": "http://a.com/x", "https://a.com:443": "https://a.com/", "https://a.com:80/": "https://a.com:80/", "http://a.com:/x": "http://a.com/x", "  HTTP://A.com/b c\n": "http://a.com/b%20c",
+        "https://a.com/a/./b/../c/..": "https://a.com/a/", "https://a.com/../../x": "https://a.com/x", "https://a.com/a/%2E%2e/b/.": "https://a.com/b/", "https://a.com/.../..x": "https://a.com/.../..x",
+        "https://a.com/é😀?q": "https://a.com/%C3%A9%F0%9F%98%80", 'https://a.com/"<>^`{}|~[]%41': "https://a.com/%22%3C%3E%5E%60%7B%7D|~[]%41", "https://a.com\\b\\c": None, "https://a.com/b\\c": "https://a.com/b/c",
+        "ht\ttps://a.com/": "https://a.com/", "https://u:p@a.com:443/#x": "https://a.com/", "foo://a.com/b\\c": "foo://a.com/b\\c",
+    }
+    got = {r["u"]: r["p"] for r in spark.createDataFrame([(u,) for u in want], "u string").select("u", urls.plain(F.col("u")).alias("p")).collect()}
+    assert {u: got[u] for u in want if want[u]} == {u: p for u, p in want.items() if p}
+    assert value(spark, urls.without_fragment(F.lit("https://a.com/?a b'\"<é>&c=%20#frag"))) == "https://a.com/?a%20b%27%22%3C%C3%A9%3E&c=%20"
+    assert value(spark, urls.masked(F.lit("https://a.com:443/x/../12345?a b#c d`"), 2026)) == "https://a.com/%3Cnumber%3E?a%20b#c%20d%60"
+    assert value(spark, urls.plain(urls.resolved(F.lit("../../b.png?x"), F.lit("https://A.com/p/q/r")))) == "https://a.com/b.png"
+    assert value(spark, urls.plain(F.lit(None).cast("string"))) is None
+
+
 ORIGINS = {
     "google": "paid:search:google", "facebook": ":social:facebook", "push": "owned:push", "gmb": ":local:google", "teads": "paid::teads", "newsletter": "owned:email", "dv360": "paid:video:google", "sfmc": "",
     "linkin.bio": "owned:social", "organicgmb": "owned:local:google", "chatgpt.com": "earned:ai:chatgpt", "ctv": "paid:video:amazon", "sea": "paid:search", "yext": "paid:local:yext", "reddit": "paid:social:reddit",

@@ -62,11 +62,7 @@ def enter_source() -> Column:
 
 def media_target() -> Column:
     """Media URLs without query and fragment; only the path on the page's own host."""
-    def short(t: Column) -> Column:
-        u = urls.plain(urls.resolved(t, F.col("url")))
-        return F.when(F.regexp_replace(urls.part(u, 3), ":[0-9]*$", "") == F.col("host"), urls.path(u)).otherwise(u)
-
-    return F.filter(F.transform(values("viewmedia", "target"), short), lambda u: u.isNotNull())
+    return F.filter(F.transform(values("viewmedia", "target"), lambda t: urls.media(t, F.col("url"), F.col("host"))), lambda u: u.isNotNull())
 
 
 def checkpoint_source(name: str) -> Column:
