@@ -10,27 +10,28 @@ from .spark import checkpointed
 HEAVY = 4096
 
 
-def joined(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+def joined(many: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """many with the columns of one, which has a row per key and tells by `n` how many rows of many have it.
 
     Keys of more than a HEAVY-th of all rows are fewer than HEAVY, so their rows of one are
     broadcast and no task gets all rows of such a key; the others are joined by a shuffle.
+    total is the number of rows of many, or more; if not given it is added up from n.
     """
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() if total is None else F.lit(total)
     heavy = one.where(F.col("n") * HEAVY > total).drop("n")
     names = F.broadcast(heavy.select(F.col(key).alias("__key")))
     light = many.join(names, F.col(key) == F.col("__key"), "left_anti").join(one.where(F.col("n") * HEAVY <= total).drop("n"), key)
     return light.unionByName(many.join(F.broadcast(heavy), key))
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Link each node's neighbours to the least of them: the larger ones, or those up to the node."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    linked = joined(near, least, "a")
+    linked = joined(near, least, "a", total)
     if large:
         return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
@@ -44,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     a sum over the links comes to the driver, to see whether a round changed any.
     """
     now, before = checkpointed(edges.select("a", "b").where("a != b").distinct()), None
+    total = 2 * now.count()  # a round makes no more rows than it is given, both ways round
     while True:
-        now = checkpointed(_stars(_stars(now, True), False))
+        now = checkpointed(_stars(_stars(now, True, total), False, total))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
