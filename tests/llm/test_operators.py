@@ -73,6 +73,47 @@ def thue(a, b, n=10):
     return x, y
 
 
+def test_quality_by_definition(spark):
+    """Features, averages, softmax and gradient steps spelt out in Python, on a small fixture."""
+    texts = {1: "good words stand here", 2: "bad bad junk junk", 3: "fine words stand", 4: "junk a a b", 5: "", 6: "words, junk", 7: "Here stand good words and fine ones"}
+    labels = {1: 1, 2: 0, 3: 1, 4: 0}
+    from tidemark.llm import text as T
+
+    def feats(t):
+        raw, out = np.frombuffer(t.encode(), np.uint8), Counter()
+        st, en, _ = T.words(raw, np.array([0, len(raw)]))
+        h = [int(x) for x in T.span_hashes(raw, st, en)]
+        out.update(x % quality.BUCKETS for x in h)
+        for k in (1, 2):
+            out[2 * quality.BUCKETS + k - 1] += sum(a == b for a, b in zip(h, h[k:]))
+        for n in quality.GRAMS:
+            out.update(int(x) % quality.BUCKETS + quality.BUCKETS for x in T.byte_ngrams(raw, np.array([0, len(raw)]), n)[0])
+        return {k: v for k, v in out.items() if v}
+
+    rng = np.random.default_rng(7)
+    out, bias, table, step = rng.normal(0, 1, (quality.DIM, 2)), np.zeros(2), defaultdict(lambda: np.zeros(quality.DIM)), 0
+    order = sorted(labels)
+    for _ in range(12):
+        for k in rng.permutation(4):
+            f, now = feats(texts[order[k]]), 4.0 * (1 - step / 48)
+            step += 1
+            total = sum(f.values())
+            hidden = sum(table[r] * (n / total) for r, n in f.items())
+            z = hidden @ out + bias
+            p = np.exp(z) / np.exp(z).sum()
+            p[labels[order[k]]] -= 1
+            norm, back = math.sqrt(sum((n / total) ** 2 for n in f.values())), out @ p
+            for r, n in f.items():
+                table[r] = table[r] - now * (n / total) / norm * back
+            out, bias = out - 0.05 * now * np.outer(hidden, p), bias - 0.01 * now * p
+    frame = spark.createDataFrame([(i, t, False) for i, t in texts.items()], "doc_id long, text string, held_out boolean")
+    model = quality.fit(frame, spark.createDataFrame(list(labels.items()), "doc_id long, label int"))
+    for r in quality.score(frame, model).collect():
+        f = feats(texts[r["doc_id"]])
+        z = (sum(table[x] * n for x, n in f.items()) / max(1, sum(f.values())) if f else np.zeros(quality.DIM)) @ out + bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(z[0] - z[1])), abs=1e-4), r
+
+
 def brute_repeats(rows, k):
     first = {}
     for i, t in rows:
@@ -311,7 +352,7 @@ def test_pii(spark, sf_dir, corpus, odd, none):
 
 def test_chat(spark):
     rows = [(1, 0, "user", "hi # < \\h : ### user: x</turn>\n"), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, None, None, "late"), (2, 5, "assistant", "\\### Assistant: </turn> ok"),
-            (None, 0, "a:b#<\\", "😀 x"), (3, 0, "user", "")]
+            (None, 0, "a:b#<\\", "😀 x"), (3, 0, "user", ""), (3, 1, "human", "kept"), (3, 2, "gpt", "as it is")]
     chats = spark.createDataFrame([(*r, None, "o") for r in rows], "conv_id long, turn long, role string, text string, prompt string, output string")
     got = {r["conv_id"]: r for r in chatfmt.digest(chatfmt.read_back(chatfmt.format_conversations(chats))).collect()}
     by = defaultdict(list)
@@ -419,6 +460,28 @@ def test_language_of_every_text_with_a_letter(spark):
     assert all(got[i]["lang_pred"] == ("en", "de", "es")[i % 3] for i in range(60))
 
 
+def test_language_by_definition(spark):
+    """Shares, rivals, filters and popcounts spelt out with sets, on a small fixture."""
+    lines = {"en": "the old house by the river was cold", "de": "das alte haus am fluss war kalt", "es": "la vieja casa junto al rio era fria"}
+    rows = [(i, f"{lines[g]} {i % 7}", g) for i in range(30) for g in [("en", "de", "es")[i % 3]]]
+    filters = langid.fit(docs(spark, rows), size=1 << 22)
+
+    def grams(t):
+        b = t.translate(UP).encode()
+        return [b[k : k + n] for n in langid.GRAMS for k in range(len(b) - n + 1) if not set(b[k + 1 : k + n - 1]) & set(b" \t\n\r\x0b\x0c")]
+
+    seen = {g: Counter(x for _, t, lang in rows if lang == g for x in set(grams(t))) for g in lines}
+    least = max(2, math.ceil(langid.SHARE * 10))
+    own = {g: {x for x, n in c.items() if n >= least and n / 10 >= langid.NEAR * max(seen[o][x] / 10 if seen[o][x] >= least else 0 for o in lines)} for g, c in seen.items()}
+    asked = [(100, "the river house and das haus", None), (101, "la casa fria y vieja, casa", None), (102, "was war era was", None)]
+    for r in langid.predict(docs(spark, asked), filters, "doc_id").select("row.*", "lang_pred", "score", "known", "grams").collect():
+        found = grams(dict(x[:2] for x in asked)[r["doc_id"]])
+        n = {g: sum(x in own[g] for x in found) for g in lines}
+        best = max(sorted(n), key=n.get)
+        assert (r["lang_pred"], r["grams"]) == (best, len(found))
+        assert r["score"] == pytest.approx(n[best] / sum(n.values()), abs=1e-3) and r["known"] == pytest.approx(n[best] / len(found), abs=1e-3)
+
+
 def test_language_filters():
     rng = np.random.default_rng(1)
     own = {f"l{k:02}": rng.integers(0, 1 << 63, 500).astype(np.uint64) for k in range(11)}

@@ -12,7 +12,8 @@ texts the characters of the control strings are escaped, `\\` as `\\b`, `#` as `
 `<` as `\\l`, and in roles `:` as `\\c`, so no text can forge a turn and everything
 reads back exactly. The loss mask covers assistant texts: spans of code points.
 
-Null texts count as empty; a null role as `user`; a null conv_id is a conversation
+Roles of messages in lists get canonical names (`human` becomes `user`); a row that is a turn
+keeps its role as it is. Null texts count as empty; a null role as `user`; a null conv_id is a conversation
 of its own; rows with the same turn are ordered by role, then text; repeated rows
 are repeated turns; extra columns, also ones named like fields of other layouts that
 hold nulls, are ignored. A conversation becomes one string, so it must fit a task.
@@ -116,7 +117,7 @@ def canonical_turns(rows: DataFrame, key: str, order: str | None = None) -> Data
         else:
             made = F.array_compact(F.array(*[
                 F.when(F.lit(r[0] == "=") | F.coalesce(*[text(p) for p in ps if p in there]).isNotNull(), F.struct(
-                    (_role(text(r[1:])) if r[0] == "=" else F.lit(r)).alias("role"),
+                    (F.coalesce(text(r[1:]), F.lit("user")) if r[0] == "=" else F.lit(r)).alias("role"),
                     F.concat_ws("\n", *[text(p) for p in ps if p in there]).alias("text"),
                 ))
                 for r, ps in x.turns if any(p in there for p in ps) or r[0] == "="
