@@ -88,12 +88,11 @@ def forest(x: np.ndarray) -> list[tuple[int, int]]:
 def _linked(batches):
     """Streams of (tab, key, bits) sorted by tab and key: links of each posting list of two or more."""
     out: list = []
-    for _, (bits,) in T.runs(batches, ("tab", "key"), ("bits",)):
-        if len(bits) > 1:
-            out += forest(np.unique(bits).view(np.uint64))
-            if len(out) > 1 << 16:
-                yield _rows(out)
-                out = []
+    for _, (bits,) in T.runs(batches, ("tab", "key"), ("bits",), 2):
+        out += forest(bits.view(np.uint64))
+        if len(out) > 1 << 16:
+            yield _rows(out)
+            out = []
     if out:
         yield _rows(out)
 
@@ -108,7 +107,7 @@ def links(prints: DataFrame) -> DataFrame:
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     masks = [signed(sum(0xFF << 8 * k for k in c)) for c in itertools.combinations(range(8), BYTES)]
     n = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    postings = prints.select("bits").distinct().repartition(n, "bits").select(F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"), "bits")
+    postings = prints.select("bits").distinct().repartition(n, F.xxhash64("bits")).select(F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"), "bits")
     sorted_lists = postings.repartition(n, "tab", "key").sortWithinPartitions("tab", "key")
     return sorted_lists.mapInArrow(_linked, "a long, b long").distinct()
 

@@ -176,7 +176,7 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS + 1
     masks = np.array(_tables(radius, blocks), np.uint64)
 
     def pairs(batches):
-        for (tab, _), (bits,) in T.runs(batches, ("tab", "key"), ("bits",)):
+        for (tab, _), (bits,) in T.runs(batches, ("tab", "key"), ("bits",), 2):
             bits = np.sort(bits.view(np.uint64))
             for k in range(len(bits) - 1):
                 got = bits[k + 1 :][_near(bits[k], bits[k + 1 :], int(tab), masks, radius)]
@@ -193,8 +193,8 @@ def count_near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, bloc
 
     def counts(batches):
         out: list = []
-        for (tab, _), (bits, asked) in T.runs(batches, ("tab", "key"), ("bits", "asked")):
-            if asked.any() and len(bits) > 1:
+        for (tab, _), (bits, asked) in T.runs(batches, ("tab", "key"), ("bits", "asked"), 2):
+            if asked.any():
                 mine, all_ = bits.view(np.uint64)[asked], bits.view(np.uint64)[~asked]
                 out += [(x, n) for x in mine if (n := int(_near(x, all_[all_ != x], int(tab), masks, radius).sum()))]
             if len(out) > 1 << 16:

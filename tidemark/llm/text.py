@@ -88,23 +88,30 @@ def slices(batches, rows: int = 512):
         release()
 
 
-def runs(batches, keys: tuple[str, ...], values: tuple[str, ...]):
-    """Arrays of values of each group of rows with equal keys, from batches sorted by keys; a group may span batches."""
+def runs(batches, keys: tuple[str, ...], values: tuple[str, ...], least: int = 1):
+    """Arrays of values of each group of rows with equal keys, from batches sorted by keys; a group may span batches.
+
+    Groups of fewer than `least` rows are passed over.
+    """
     held: list[list[np.ndarray]] = []
     now = None
     for b in batches:
-        k, v = [np.asarray(b[c]) for c in keys], [np.asarray(b[c]) for c in values]
         if not len(b):
             continue
-        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
-        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(b)]):
+        k, v = [np.asarray(b[c]) for c in keys], [np.asarray(b[c]) for c in values]
+        begin = np.append(0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1)
+        end = np.append(begin[1:], len(b))
+        wanted = end - begin >= least
+        wanted[[0, -1]] = True  # they may go on
+        for i, j in zip(begin[wanted].tolist(), end[wanted].tolist()):
             key = tuple(x[i] for x in k)
             if key != now and held:
-                yield now, [np.concatenate(x) for x in zip(*held)]
+                if sum(len(x[0]) for x in held) >= least:
+                    yield now, [np.concatenate(x) for x in zip(*held)]
                 held = []
             now = key
             held.append([x[i:j] for x in v])
-    if held:
+    if held and sum(len(x[0]) for x in held) >= least:
         yield now, [np.concatenate(x) for x in zip(*held)]
 
 
