@@ -76,6 +76,12 @@ def test_filters(three):
     assert not any(only(three.bundles.select(three.has_conversion({"x": ["click"]}))))
 
 
+def test_selectivity(three):
+    x = three.with_filter({"checkpoint": ["click", "enter"], "userAgent": ["mobile"], "x": ["a"], "none": []})
+    assert x.selectivity() == {"checkpoint": 4, "userAgent": 1, "x": 1} and [k for k in x.ordered().spec if k in three.facets] == ["userAgent", "checkpoint"]
+    assert three.with_filter({"checkpoint": ["click"], "userAgent": ["mobile"]}).ordered().filtered().count() == 1
+
+
 def rows(view):
     return {(r["facet"], r["value"]): (r["count"], r["weight"]) for r in view.collect()}
 
@@ -304,6 +310,11 @@ def test_trace(spark, tmp_path):
         json.dump({"traceEvents": [event, {"cat": "x"}, event]}, f)
     got = trace.profile(trace.read_trace(spark, str(tmp_path)))
     assert [tuple(r) for r in got.collect()] == [("(inline)#g", 14, 4), ("a.js#f", 10, 2)]
+    (tmp_path / "u.json").write_text('{"traceEvents": [{"cat"')
+    both = trace.read_trace(spark, str(tmp_path))
+    assert sorted(map(tuple, trace.profile(both).collect())) == sorted(map(tuple, got.collect())) and trace.broken(both).first()["file"].endswith("u.json")
+    assert trace.report(got).first()["line"] == "0.01ms\t(samples=4)\t(inline)#g"
+    assert [value(spark, formats.milliseconds(F.lit(x))) for x in (125, 15, 5, 1234567, 0)] == ["0.13ms", "0.01ms", "0.01ms", "1234.57ms", "0.00ms"]
     assert trace.top(got, "a\\.js").count() == 1 and trace.top(got, "none", 1).first()["key"] == "(inline)#g"
 
 

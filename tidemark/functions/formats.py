@@ -84,3 +84,13 @@ def rounded_to_confidence(total: Column, samples: Column | None = None, max_prec
         return pd.Series([None if pd.isna(a) else round_to_confidence_interval(a, a if pd.isna(b) else b, max_precision) for a, b in zip(t, n)])
 
     return run(total.cast("double"), (total if samples is None else samples).cast("double"))
+
+
+def milliseconds(c: Column) -> Column:
+    """Microseconds of final results as milliseconds with two decimals; the exact value of the quotient is rounded, halves up."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: f"{Decimal(float(v) / 1000).quantize(Decimal('0.01'), rounding=ROUND_HALF_UP):f}ms", na_action="ignore")
+
+    return run(c.cast("long"))

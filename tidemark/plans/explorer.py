@@ -118,6 +118,19 @@ class Explorer:
         """Whether a bundle meets a spec, with one combiner for all its facets."""
         return P.conjunction(self._conditions(spec, combiner).values())
 
+    def selectivity(self, spec: Mapping | None = None) -> dict[str, int]:
+        """How many matches each facet of a spec may have: bundles by desired value, added up; an unknown facet counts its values."""
+        spec = P.active(self.spec if spec is None else spec)
+        known = {k: v for k, v in spec.items() if k in self.facets}
+        hits = [F.sum(F.size(F.filter(self.facets[k].values, _among(v)))).alias(k) for k, v in known.items()]
+        row = self.bundles.agg(*hits).first() if hits else {}
+        return {k: int(row[k] or 0) if k in known else len(v) for k, v in spec.items()}
+
+    def ordered(self) -> Explorer:
+        """The same filter with the facet first that fewest bundles match: conditions are tested in order."""
+        score = self.selectivity()
+        return self.with_filter(dict(sorted(self.spec.items(), key=lambda kv: score.get(kv[0], 0))))
+
     def _skipped(self, name: str) -> set[str]:
         twin = self.facets.get(f"{name}!")
         return ({name} if self.facets[name].combiner in P.SKIPS_OWN else set()) | ({f"{name}!"} if twin and twin.combiner in P.SKIPS_NEGATED else set())
@@ -259,6 +272,10 @@ class Explorer:
         return self.with_facet(name, F.when(self._snapshot(base), F.array_distinct(F.flatten(values))), combiner, negative)
 
 
+def _among(values: Sequence[str]):
+    return lambda x: x.isin(*values)
+
+
 def _pair(facet: str):
     return lambda v: F.named_struct(F.lit("facet"), F.lit(facet), F.lit("value"), v)
 

@@ -227,7 +227,7 @@ def _short(x: str, digits: str) -> str:
     return f"rtrim(rtrim(printf('%.9f', {cut} / pow(1000, {unit})), '0'), '.') || ['', 'k', 'm', 'b', 't'][{unit} + 1]"
 
 
-_TRACE = """WITH t AS (SELECT s_nationkey, list(s_suppkey ORDER BY s_suppkey) AS k FROM supplier GROUP BY 1),
+_TRACE = """WITH t AS (SELECT s_nationkey, list(s_suppkey ORDER BY s_suppkey) AS k FROM supplier WHERE s_nationkey <> 24 GROUP BY 1),
 r AS (SELECT k[i] % 7 AS node, CASE WHEN i < len(k) THEN k[i] % 13 ELSE 0 END AS d FROM (SELECT k, unnest(range(1, len(k) + 1)) AS i FROM t)),
 p AS (SELECT CASE node WHEN 4 THEN '(inline)' ELSE 'u' || CAST(node % 2 AS VARCHAR) || '.js' END || '#' || CASE node WHEN 5 THEN '(anonymous)' ELSE 'f' || CAST(node AS VARCHAR) END AS key,
   CAST(sum(d) AS BIGINT) AS time, count(*) AS samples FROM r WHERE node < 6 GROUP BY 1) """
@@ -281,6 +281,10 @@ e AS (SELECT *, CAST(floor(1.96 * sqrt((t / n) * (t / n) * n) + 0.5) AS BIGINT)
 d AS (SELECT *, greatest(2, CAST(list_sum(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] = b[i] THEN 1 ELSE 0 END)) AS BIGINT)) AS digits FROM c)
 SELECT p_partkey, {_short("t", "digits")} AS shown, {_short("t", "2")} AS short FROM d""",
     "trace_profile": _TRACE + "SELECT * FROM p",
+    "trace_report": _TRACE + """SELECT key, printf('%.2f', time / 1000 + CASE WHEN time % 250 = 125 THEN 1e-9 ELSE 0 END) || 'ms' || chr(9) || '(samples=' || CAST(samples AS VARCHAR) || ')' || chr(9) || key AS line FROM p
+UNION ALL SELECT 'broken', 'nation 24' FROM supplier WHERE s_nationkey = 24 HAVING count(*) > 0""",
+    "selectivity": _pv(f""", c AS (SELECT count(*) FILTER (WHERE list_contains(cps, 'click')) + count(*) FILTER (WHERE list_contains(cps, 'enter')) AS k, count(*) FILTER (WHERE ua = 'mobile:ios') AS u FROM s),
+r AS (SELECT unnest(['checkpoint', 'userAgent', 'unknown']) AS facet, unnest([k, u, 2]) AS score FROM c) SELECT facet, score, CAST(row_number() OVER (ORDER BY score) - 1 AS INTEGER) AS place FROM r"""),
     "trace_top": _TRACE + "SELECT * FROM (SELECT *, 'own' AS of FROM p WHERE contains(key, 'u1') ORDER BY time DESC, key LIMIT 2) UNION ALL SELECT * FROM (SELECT *, 'all' AS of FROM p ORDER BY time DESC, key LIMIT 2)",
     "url_clusters": _clusters(),
     "clusters_filtered": _clusters("list_contains(uas, 'desktop:mac')"),

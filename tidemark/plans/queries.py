@@ -16,7 +16,7 @@ from ..operators import series as se
 from ..sources.bundles import append, enrich, page_views, read_chunks, write_chunks
 from ..sources.scratch import scratch
 from .explorer import Explorer
-from .trace import profile, read_trace, top
+from .trace import broken, profile, read_trace, report, top
 
 YEAR = 2026
 SPREADS = ("variance", "stddev", "stderr")
@@ -308,6 +308,7 @@ def _traces(spark, sf_dir) -> DataFrame:
     event = lambda cat: F.struct(F.lit(cat).alias("cat"), F.lit("ProfileChunk").alias("name"), F.struct(data.alias("data")).alias("args"))
     path = f"{scratch(spark)}/traces"
     file = F.to_json(F.struct(F.array(event("disabled-by-default-v8.cpu_profiler"), event("other")).alias("traceEvents")))
+    file = F.when(F.col("s_nationkey") == 24, F.substring(file, 1, 40)).otherwise(file)  # a broken file
     rows.select("s_nationkey", file.alias("value")).write.partitionBy("s_nationkey").text(path)
     return read_trace(spark, path)
 
@@ -316,6 +317,19 @@ def trace_profile(spark, sf_dir):
     return profile(_traces(spark, sf_dir))
 
 
+def trace_report(spark, sf_dir):
+    traces = _traces(spark, sf_dir)
+    lost = broken(traces).select(F.lit("broken").alias("key"), F.concat(F.lit("nation "), F.regexp_extract("file", r"s_nationkey=(\d+)", 1)).alias("line"))
+    return report(profile(traces)).unionByName(lost)
+
+
+def selectivity(spark, sf_dir):
+    """How many matches the facets of a filter may have, and where `ordered` puts them."""
+    x = explorer(spark, sf_dir, "userAgent", "checkpoint", series=()).with_filter({"checkpoint": ["click", "enter"], "userAgent": "mobile:ios", "unknown": ["a", "b"]})
+    order = list(x.ordered().spec)
+    return spark.createDataFrame([(k, n, order.index(k)) for k, n in x.selectivity().items()], "facet string, score long, place int")
+
+
 def trace_top(spark, sf_dir):
     """Two functions of one file with most time; then of all, as no key matches."""
     entries = profile(_traces(spark, sf_dir))
@@ -327,7 +341,7 @@ QUERIES = {
     for f in (
         daily_traffic, totals_metrics, group_metrics, group_percentiles, filter_conjunction, filter_unknown, conversions, conversion_rates, facets_plain, facets_drilldown, facet_metrics,
         checkpoint_sources, series_sums, enriched, reclassified_events, classify_acquisition, classify_referrer, classify_consent, filled_days, interpolated_ratio, url_clusters, richness,
-        histogram_filtered, clusters_filtered, facet_order, chunks, lifecycle, richness_of_visits, rounded_to_confidence, trace_top, dark_matter, sampling, z_test, t_test, trend, scores, append_bundles, url_masks, known_facets, readable, trace_profile,
+        histogram_filtered, clusters_filtered, facet_order, chunks, lifecycle, richness_of_visits, rounded_to_confidence, trace_top, trace_report, selectivity, dark_matter, sampling, z_test, t_test, trend, scores, append_bundles, url_masks, known_facets, readable, trace_profile,
     )
 }
 QUERIES |= {f"filter_{c}": _filter(c) for c in ("some", "every", "none", "never")}

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import milliseconds
+
 TRACE = (
     "traceEvents array<struct<cat:string,name:string,args:struct<data:struct<cpuProfile:struct<nodes:array<struct<id:long,callFrame:struct<url:string,functionName:string>>>,samples:array<long>>,"
     "timeDeltas:array<long>>>>>"
 )
 
 
+BROKEN = "_corrupt_record"
+
+
 def read_trace(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Trace files as JSON, gzipped or not; a malformed file gives no events."""
-    return spark.read.schema(TRACE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Trace files as JSON, gzipped or not, with their names; a malformed file gives no events and is told by `broken`."""
+    rows = spark.read.schema(f"{TRACE}, {BROKEN} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+    bad = F.col(BROKEN).isNotNull()
+    return rows.select(F.when(~bad, F.col("traceEvents")).alias("traceEvents"), F.input_file_name().alias("file"), bad.alias("broken"))
+
+
+def broken(traces: DataFrame) -> DataFrame:
+    """Names of files that couldn't be read; the others are profiled all the same."""
+    # the events are named too: Spark refuses to read nothing but what it couldn't parse
+    return traces.where(F.col("broken") & F.col("traceEvents").isNull()).select("file").distinct()
 
 
 def profile(traces: DataFrame) -> DataFrame:
@@ -33,3 +46,8 @@ def top(entries: DataFrame, own: str, n: int = 25) -> DataFrame:
     """The n largest entries whose key matches a pattern, or the n largest of all if none does."""
     ours = entries.where(F.col("key").rlike(own))
     return (ours if ours.limit(1).count() else entries).orderBy(F.desc("time"), "key").limit(n)
+
+
+def report(entries: DataFrame) -> DataFrame:
+    """Entries as lines of text: time in milliseconds, samples and key."""
+    return entries.select("key", F.concat(milliseconds(F.col("time")), F.lit("\t(samples="), F.col("samples").cast("string"), F.lit(")\t"), F.col("key")).alias("line"))
