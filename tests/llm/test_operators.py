@@ -467,7 +467,7 @@ def test_sentencepiece_giant(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sptok.MODEL)
-    text = (LONG + " ÀÉ 日本 ") * 8  # 1.4 million characters
+    text = (LONG + " ÀÉ 日本 ") * 8  # 1.4 million characters, 22 chunks
     rows = sptok.tokenize(docs(spark, [(1, text, None), (2, "short", None)]))
     assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {1: sp.encode(text), 2: sp.encode("short")}
 

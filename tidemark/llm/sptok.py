@@ -44,7 +44,7 @@ from . import text as T
 from .spark import checkpointed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, REMEMBER, PAIRS, TAIL = 1 << 15, 350_000, 300_000, 4
+CHUNK, REMEMBER, PAIRS, TAIL = 1 << 16, 350_000, 300_000, 4
 SPACE = "▁"
 
 
@@ -377,6 +377,15 @@ def _scanned(texts: DataFrame, shared, size: int) -> DataFrame:
     return coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
+def _by_length(docs: DataFrame, shared, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with texts of one chunk, and rows with longer ones, these with ids."""
+    long = F.coalesce(F.length("text") > size, F.lit(False))
+    # long texts are few but are read again; equal ones are scanned once
+    rows = checkpointed(docs.where(long).select(F.struct("*").alias("row"), F.unhex(F.sha2("text", 256)).alias("key")))
+    ids = _scanned(rows.groupBy("key").agg(F.min("row.text").alias("text")), shared, size)
+    return docs.where(~long), rows.join(ids, "key").select("row.*", "ids")
+
+
 def tokenize(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """Documents with ids array<int> added (an ids column already there is replaced)."""
     docs, shared = docs.drop("ids"), _model(docs.sparkSession, model)
@@ -389,11 +398,8 @@ def tokenize(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFra
             got = [np.array(encode(t, m), np.int32) for t in T.strings(b["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(got)], [*b.schema.names, "ids"])
 
-    long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    # long texts are few but may be read again and again; equal ones are scanned once
-    rows = checkpointed(docs.where(long).select(F.struct("*").alias("row"), F.unhex(F.sha2("text", 256)).alias("key")))
-    ids = _scanned(rows.groupBy("key").agg(F.min("row.text").alias("text")), shared, chunk)
-    return docs.where(~long).mapInArrow(run, schema).unionByName(rows.join(ids, "key").select("row.*", "ids"))
+    short, long = _by_length(docs, shared, chunk)
+    return short.mapInArrow(run, schema).unionByName(long)
 
 
 def _lists(got: list[np.ndarray]) -> pa.Array:
@@ -419,17 +425,20 @@ def detokenize(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> D
 
 def encode_decode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_sha256 (little-endian int32), decoded_sha256, round_trip."""
-    shared = _model(docs.sparkSession, model)
+    docs, shared = docs.select("doc_id", "text"), _model(docs.sparkSession, model)
+    schema = "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches):
         m = memory(shared.value)
-        for b in T.slices(batches, 64):
-            rows, k = [], b.schema.get_field_index("ids")
-            for t, x in zip(T.strings(b["text"]).to_pylist(), b.column(k)):
-                ids = x.values.to_numpy(zero_copy_only=False)
-                back = decode(ids.tolist(), m)
-                rows.append((len(t), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
+        gc.freeze()
+        for b in T.slices(batches):
+            rows, known = [], b.schema.get_field_index("ids")
+            for k, t in enumerate(T.strings(b["text"]).to_pylist()):
+                ids = encode(t, m) if known < 0 else b.column(known)[k].values.to_pylist()
+                back = decode(ids, m)
+                rows.append((len(t), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds))], ["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return tokenize(docs.select("doc_id", "text"), model, chunk).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    short, long = _by_length(docs, shared, chunk)
+    return short.mapInArrow(run, schema).unionByName(long.mapInArrow(run, schema))
