@@ -300,7 +300,7 @@ def score(docs: DataFrame) -> DataFrame:
     mass = pairs.withColumn("stats", stats).groupBy("part").applyInArrow(lambda k, t: T.freed(_masses, k, t), _ddl(MASS)).groupBy("h").agg(*[F.sum(x).alias(x) for x in MASS.names[1:]])
     classes = mass.agg(F.array(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)) for r in range(1, TOP + 1)]).alias("x")).scalar()
     dealt = mass.withColumns({"part": F.pmod("h", F.lit(n)).cast("int"), "pairs": classes})
-    alphas = words.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda k, a, b: T.freed(_tell_alphas, k, a, b, n), _ddl(TOLD))
+    alphas = words.groupBy("part").cogroup(c.owned(dealt).groupBy("part")).applyInArrow(lambda k, a, b: T.freed(_tell_alphas, k, a, b, n), _ddl(TOLD))
     more = pairs.groupBy("part").applyInArrow(lambda k, t: T.freed(_tell_pairs, k, t), _ddl(TOLD)).unionByName(alphas).withColumnRenamed("src", "chunk")
     every = told.unionByName(more).withColumns({"stats": stats, "pairs": classes})
     return c.with_docs(c.home(every), lambda k, a, b: T.freed(_score, k, a, b, n), _ddl(SCORE))

@@ -68,18 +68,13 @@ class Chunks:
     n: int
     owners: int
 
-    @property
-    def tasks(self) -> int:
-        """Tasks for rows dealt by other keys."""
-        return max(min(self.n, TASKS), int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     def home(self, df: DataFrame) -> DataFrame:
-        """Rows dealt by chunk."""
-        return df.repartition(min(self.n, TASKS), "chunk")
+        """Rows dealt by chunk, as many chunks to each task."""
+        return df.repartitionById(min(self.n, TASKS), "chunk")
 
     def owned(self, df: DataFrame) -> DataFrame:
-        """Rows dealt by owner."""
-        return df.repartition(min(self.owners, TASKS), "part")
+        """Rows dealt by owner, as many owners to each task."""
+        return df.repartitionById(min(self.owners, TASKS), "part")
 
     def with_docs(self, right: DataFrame, f, schema: str) -> DataFrame:
         """f(documents, rows) for every chunk; the documents' shuffle is the same for all uses."""
@@ -99,4 +94,4 @@ def chunked(docs: DataFrame, *more) -> Chunks:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, -(-total // CHUNK_BYTES), min(partitions, total // LEAST_BYTES))
     base = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), *more)
-    return Chunks(base.repartition(min(n, TASKS), "chunk"), n, max(OWNERS, -(-total // OWNER_BYTES)))
+    return Chunks(base.repartitionById(min(n, TASKS), "chunk"), n, max(OWNERS, -(-total // OWNER_BYTES)))
