@@ -147,8 +147,42 @@ class Vocabulary:
         return out[::-1]
 
     def segment(self, s: str) -> list[str]:
-        """The pieces of a segment."""
-        return self.trace(self.scan(s, 0, len(s), 0, None), 0, len(s))
+        """The pieces of a segment: its one path of weight 0, longer pieces tried first, no state twice."""
+        known, pairs, n = self.known.get, self.pairs.get, len(s)
+        pairs_ = self.pairs
+        out: list[str] = []
+        ways: list[list[str]] = []  # pieces left to try after each of out, the longest last
+        dead: set[tuple[int, str]] = set()
+        q, a = 0, ""
+        while q < n:
+            if dead and (q, a) in dead:
+                ways.append([])
+            else:
+                e = q + 1
+                b = known(s[q:e])
+                found = [b or s[q]]  # a character without a piece stands alone
+                while b is not None and e < n:
+                    e += 1
+                    b = known(s[q:e])
+                    if b:
+                        found.append(b)
+                ways.append(found)
+            left = ways[-1]
+            while True:
+                if not left:  # a dead end
+                    dead.add((q, a))
+                    ways.pop()
+                    left = ways[-1]
+                    q -= len(out.pop())
+                    a = out[-1] if out else ""
+                    continue
+                b = left.pop()
+                if not a or pairs((a, b)) or ((a, b) not in pairs_ and self.edge(a, b)):
+                    break
+            out.append(b)
+            q += len(b)
+            a = b
+        return out
 
     def parts(self, s: str, at: int) -> bool:
         """Whether no piece crosses a place in a text."""
