@@ -223,6 +223,8 @@ def test_url_normal_form(spark):
     assert value(spark, urls.masked(F.lit("https://a.com:443/x/../12345?a b#c d`"), 2026)) == "https://a.com/%3Cnumber%3E?a%20b#c%20d%60"
     assert value(spark, urls.plain(urls.resolved(F.lit("../../b.png?x"), F.lit("https://A.com/p/q/r")))) == "https://a.com/b.png"
     assert value(spark, urls.plain(F.lit(None).cast("string"))) is None
+    long = "https://a.com/" + "seg/" * 20_000
+    assert value(spark, urls.plain(F.lit(long + "?q"))) == long and value(spark, urls.plain(F.lit(long + "./x"))) == long + "x"
 
 
 ORIGINS = {

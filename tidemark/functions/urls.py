@@ -15,6 +15,8 @@ from .rules import let
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+# what is in normal form as it stands
+NORMAL = r"^(https?)://([a-z0-9.-]+)(?![^?#]*(?:/\.|%2[eE]))(/[A-Za-z0-9._~!$&'()*+,;=:@%/-]*)(\?[A-Za-z0-9._~!$&()*+,;=:@%/?-]*)?(#[A-Za-z0-9._~!$&()*+,;=:@%/?-]*)?$"
 # Fixed values of the URL standard: ports that are left out, and what is percent-encoded in each part beyond controls and other alphabets.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 ENCODED = {"path": ' "#<>?^`{}', "query": " \"#<>'", "fragment": ' "<>`'}
@@ -65,7 +67,12 @@ def parsed(url: Column) -> Column:
         )
         return F.when(u.rlike(URL) & ~u.rlike(r"^[^?#]*://[^/?#]*\s"), fields)
 
-    return let(trimmed(url), normal)
+    def simple(u: Column) -> Column:
+        """Most URLs have the normal form: they are only taken apart."""
+        part = lambda k: F.regexp_extract(u, NORMAL, k)
+        return F.struct(part(1).alias("scheme"), F.lit("").alias("user"), part(2).alias("host"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+
+    return F.when(url.rlike(NORMAL), simple(url)).otherwise(let(trimmed(url), normal))
 
 
 def origin(u: Column, user: bool = True) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.formats import significant
+from ..functions.rules import let
 from ..operators import aggregates as A
 from ..operators import predicates as P
 from ..sources import bundles as B
@@ -82,8 +83,9 @@ class Explorer:
         none = F.array().cast("array<string>")
         if isinstance(kind, T.ArrayType):
             return F.coalesce(F.filter(values.cast("array<string>"), lambda x: x.isNotNull()), none)
-        falsy = values == (F.lit("") if isinstance(kind, T.StringType) else F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0)) if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(False)
-        return F.when(values.isNull() | falsy, none).otherwise(F.array(values.cast("string")))
+        zero = {T.StringType: F.lit(""), T.BooleanType: F.lit(False)}.get(type(kind), F.lit(0))
+        falsy = (lambda v: F.lit(False)) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else (lambda v: v == zero)
+        return let(values, lambda v: F.when(v.isNull() | falsy(v), none).otherwise(F.array(v.cast("string"))))
 
     # caching is Spark's: views are plans, and what is worth keeping is kept as a table
 
