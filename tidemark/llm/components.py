@@ -37,19 +37,24 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to a root, and no root has any: then the links tell the components."""
+    twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    roots = edges.select(F.col("b").alias("__root")).distinct()
+    return not twice.unionByName(edges.join(roots, F.col("a") == F.col("__root"), "left_semi").select("a")).head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) of longs; root is the component's least node.
 
     Large-star and small-star turn the graph into stars in a number of rounds that
-    grows with the logarithm of a component; each round is checkpointed. Only
-    a sum over the links comes to the driver, to see whether a round changed any.
+    grows with the logarithm of a component; each round is checkpointed. Only a row
+    of a link that is not yet part of a star comes to the driver.
     """
-    now, before = checkpointed(edges.select("a", "b").where("a != b").distinct()), None
+    now = checkpointed(edges.select("a", "b").where("a != b").distinct())
     total = 2 * now.count()  # a round makes no more rows than it is given, both ways round
     while True:
         now = checkpointed(_stars(_stars(now, True, total), False, total))
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
+        if _are_stars(now):
             break
-        before = mark
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -121,10 +121,11 @@ def _rooted(of_bits: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable)."""
     prints = checkpointed(fingerprints(docs))
-    of_bits = checkpointed(_rooted(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))))
+    total = prints.count()
+    of_bits = _rooted(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     classes = of_bits.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = checkpointed(joined(of_bits, classes, "root", of_bits.count()).select("bits", "component_id", F.col("rows").alias("n")))
-    return joined(prints, named, "bits", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    named = checkpointed(joined(of_bits, classes, "root", total).select("bits", "component_id", F.col("rows").alias("n")))
+    return joined(prints, named, "bits", total).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
