@@ -242,10 +242,11 @@ def _runs(order: np.ndarray, m: np.ndarray, e: np.ndarray):
 
 
 def _settled(index: Index, buf: np.ndarray, at: np.ndarray, row, item, diag, count):
-    """For passages with MANY bands in a row: matches without edits, and the bands they don't rule out.
+    """For passages with MANY bands in a row: matches without edits, and the bands that are still to be verified.
 
     Such matches come first whatever the others are, so a band need not be verified if all that it
-    can find overlaps one of them.
+    can find overlaps one of them. Nor need one whose region lacks more of the passage's bytes,
+    each counted as often as it is there, than edits are allowed.
     """
     found, keep = [], np.ones(len(row), bool)
     new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else np.zeros(0, np.int64)
@@ -253,6 +254,12 @@ def _settled(index: Index, buf: np.ndarray, at: np.ndarray, row, item, diag, cou
         if b - a > MANY:
             r, i = int(row[a]), int(item[a])
             text, p, m, e = buf[at[r] : at[r + 1]].tobytes(), index.text[i].tobytes(), int(index.m[i]), int(index.e[i])
+            begin, end = (np.clip(x, 0, len(text)) for x in (diag[a:b], diag[a:b] + 2 * e + m))
+            missing = np.zeros(b - a, np.int64)
+            for byte, n in zip(*np.unique(index.text[i], return_counts=True)):
+                sums = np.append(0, np.cumsum(buf[at[r] : at[r + 1]] == byte))
+                missing += np.maximum(0, n - (sums[end] - sums[begin]))
+            keep[a:b] = missing <= e
             starts, s = [], text.find(p)
             while s >= 0:
                 starts.append(s)
@@ -263,7 +270,7 @@ def _settled(index: Index, buf: np.ndarray, at: np.ndarray, row, item, diag, cou
                 lo, hi = diag[a:b], diag[a:b] + 2 * e
                 k = np.searchsorted(starts, lo + m - e) - 1
                 s = np.array(starts)[np.maximum(k, 0)]
-                keep[a:b] = (k < 0) | (hi >= s + m)
+                keep[a:b] &= (k < 0) | (hi >= s + m)
     return found, keep
 
 

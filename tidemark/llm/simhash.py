@@ -215,4 +215,4 @@ def fingerprint_and_search(docs: DataFrame) -> DataFrame:
     """
     rows = checkpointed(fingerprint_edits(docs))
     asked = rows.where(F.col("doc_id") % QUERIES == 0)
-    return joined(asked, count_near(asked, rows), "fingerprint").unionByName(rows.where(F.coalesce(F.col("doc_id") % QUERIES != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long")))
+    return joined(asked, count_near(asked, rows), "fingerprint").select(*rows.columns, "n_near").unionByName(rows.where(F.coalesce(F.col("doc_id") % QUERIES != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long")))
