@@ -31,7 +31,8 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    linked = joined(near, least, "a", total)
+    # after the large stars a node has few smaller neighbours, but a hub has all of its own before
+    linked = joined(near, least, "a", total) if large else near.join(least, "a")
     if large:
         return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
@@ -48,13 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) of longs; root is the component's least node.
 
     Large-star and small-star turn the graph into stars in a number of rounds that
-    grows with the logarithm of a component; each round is checkpointed. Only a row
-    of a link that is not yet part of a star comes to the driver.
+    grows with the logarithm of a component; both steps are checkpointed, so plans stay
+    small. Only a row of a link that is not yet part of a star comes to the driver.
     """
     now = checkpointed(edges.select("a", "b").where("a != b").distinct())
     total = 2 * now.count()  # a round makes no more rows than it is given, both ways round
     while True:
-        now = checkpointed(_stars(_stars(now, True, total), False, total))
+        now = checkpointed(_stars(now, True, total))
+        now = checkpointed(_stars(now, False, total))
         if _are_stars(now):
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
