@@ -682,6 +682,16 @@ def test_near_duplicate_links(spark):
         assert got.get(sign(m), sign(m)) == sign(root[m])
 
 
+def test_joined_with_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY", 8)
+    many = spark.range(600).select(F.when(F.col("id") < 400, 0).when(F.col("id") < 500, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most")).where("k != 599")
+    want = sorted(map(tuple, many.join(one.drop("n"), "k").select("k", "v", "most").collect()))
+    for total in (None, 600, 5000):
+        assert sorted(map(tuple, components.joined(many, one, "k", total).select("k", "v", "most").collect())) == want and len(want) == 599
+    assert components.joined(many.limit(0), one.limit(0), "k").count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

@@ -56,8 +56,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again; as many files as its bytes need, not as it had tasks."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.hint("rebalance").checkpoint()
 
 
 @dataclass(frozen=True)
