@@ -158,6 +158,18 @@ def test_percentiles_of_outliers(spark):
     assert len(sizes) > 200 and max(sizes) < 4 * sum(sizes) / len(sizes)
 
 
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_ranks_of_many_values(spark, keys):
+    """Ranges don't depend on the order or the partitions of rows, so both places where a plan has them agree and no rank is off."""
+    values = spark.range(100_000).select((F.col("id") % 2).cast("string").alias("key"), (F.col("id") * 7919 % 100_003 / 8).alias("v"), (F.col("id") % 3 + 1).alias("n"))
+    found = [sorted(map(tuple, A.ranked(rows, keys).select(F.col("key") if keys else F.lit(""), "v", "n", "range", "end").collect())) for rows in (values.repartition(23), values.coalesce(1).sortWithinPartitions(F.desc("v")))]
+    assert found[0] == found[1]
+    upto = {}
+    for key, _, n, _, end in found[0]:
+        upto[key] = upto.get(key, 0) + n
+        assert end == upto[key]
+
+
 def test_totals_only_on_demand(three):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan(three.group(F.col("userAgent"), names=("sum",))) and "Join" in plan(three.group(F.col("userAgent"), names=("sum", "share")))

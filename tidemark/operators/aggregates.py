@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 METRICS = ("count", "sum", "weight", "min", "max", "mean", "variance", "stddev", "stderr")
 #: Metrics that compare a group with its totals; null where there is nothing to compare with.
 RELATIVE = ("share", "percentage")
-RANGES, ACCURACY = 256, 4096
+RANGES, SAMPLE = 256, 4096
 
 
 def metric(name: str, series: str, weight: str = "weight") -> Column:
@@ -58,11 +58,14 @@ def ranked(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, v, n, total and end: the sum of n up to v, within keys, of distinct (keys, v).
 
     Ranks are found in two levels: RANGES ranges between quantiles of a group's values, and
-    values within a range. So no task sorts a whole group, wherever its values lie.
+    values within a range. So no task sorts a whole group, wherever its values lie. The plan
+    holds the limits of ranges twice, so they must not depend on the order of rows, as sketches
+    do: they are quantiles of a sample, in each of SAMPLE slots of hashes the value of the smallest.
     """
-    keys = list(keys)
-    parts = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    limits = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", parts, ACCURACY)).alias("limits"), F.sum("n").alias("total"))
+    keys, hashed = list(keys), F.xxhash64("v")
+    slots = counted.groupBy(*keys, F.pmod(hashed, F.lit(SAMPLE)).alias("slot")).agg(F.min_by("v", hashed).alias("v"), F.sum("n").alias("n"))
+    limits = slots.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("limits"), F.sum("n").alias("total"))
+    limits = limits.withColumn("limits", F.filter("limits", lambda _, i: (i + 1) * RANGES % F.size("limits") < RANGES))
     placed = _joined(counted, limits, keys).select(*keys, "v", "n", "total", _place(F.col("limits"), F.col("v")).alias("range"))
     sums = placed.groupBy(*keys, "range").agg(F.sum("n").alias("inside"))
     before = F.sum("inside").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
